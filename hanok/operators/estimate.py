@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
+from hanok.functions.months import month_name
 from hanok.functions.values import weight_twentieths
 
 CONTEXT_MONTHS = 3
@@ -58,7 +59,8 @@ def price_counts(typed: DataFrame, targets: Mapping[str, tuple[int, bool]]) -> D
     reach = max(fv.WINDOWS)
     near = F.lit(False)
     for index, no_future in targets.values():
-        near = near | F.col("midx").between(index - reach, index if no_future else index + reach)
+        # on the month text, so that a table partitioned by month is pruned
+        near = near | F.col("ym").between(month_name(index - reach), month_name(index if no_future else index + reach))
     counts = (
         typed.filter(near)
         .groupBy("complex_id", "area_type", "cluster_area", "midx", "price")
@@ -150,7 +152,7 @@ def evidence(sales: DataFrame, est: DataFrame, targets: Mapping[str, tuple[int,
     sides = est.select("complex_id", "area_type", F.col("area_used").alias("cluster_area"), "side", "window", "center", "threshold")
     out = None
     for side, (index, no_future) in targets.items():
-        near = typed.filter(F.col("midx").between(index - 12, index if no_future else index + 12))
+        near = typed.filter(F.col("ym").between(month_name(index - 12), month_name(index if no_future else index + 12)))
         hit = near.join(sides.filter(F.col("side") == side), ["complex_id", "area_type", "cluster_area"])
         hit = hit.withColumn("distance", F.abs(F.col("midx") - index)).filter(F.col("distance") <= F.col("window"))
         hit = hit.filter(F.col("threshold").isNull() | (F.abs(F.col("price") - F.col("center")) <= F.col("threshold")))
