@@ -10,6 +10,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, fn) -> Column:
+    """``fn`` applied to a value that is computed once, however often ``fn`` mentions it."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def month_index(ym: str) -> int:
     year, month = ym.split("-")
     return int(year) * 12 + int(month) - 1

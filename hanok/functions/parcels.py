@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hanok.functions.months import col
+from hanok.functions.months import col, let
 from hanok.functions.text import clean, compat
 from hanok.functions.values import integer
 
@@ -47,15 +47,19 @@ def parcel_from_address(address, region, dong) -> Column:
 
 def parcel_evidence(detail, address, region, dong) -> Column:
     """Struct (parcel, evidence): the address alone is never trusted, a contradiction gives no parcel."""
-    a, b = parcel_from_detail(detail), parcel_from_address(address, region, dong)
-    evidence = (
-        F.when((a != "") & (b != "") & (a != b), "conflict")
-        .when((a != "") & (b != ""), "daddr+stdg_addr")
-        .when(a != "", "daddr")
-        .when(b != "", "stdg_addr_only_untrusted")
-        .otherwise("none")
-    )
-    return F.struct(F.when(evidence.isin("daddr", "daddr+stdg_addr"), a).otherwise("").alias("parcel"), evidence.alias("evidence"))
+    def judge(p):
+        a, b = p["a"], p["b"]
+        evidence = (
+            F.when((a != "") & (b != "") & (a != b), "conflict")
+            .when((a != "") & (b != ""), "daddr+stdg_addr")
+            .when(a != "", "daddr")
+            .when(b != "", "stdg_addr_only_untrusted")
+            .otherwise("none")
+        )
+        return F.struct(F.when((b == "") | (a == b), a).otherwise("").alias("parcel"), evidence.alias("evidence"))
+
+    found = F.struct(parcel_from_detail(detail).alias("a"), parcel_from_address(address, region, dong).alias("b"))
+    return let(found, judge)
 
 
 def legal_parcels(address, eup, dong) -> Column:

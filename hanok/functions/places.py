@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
-from hanok.functions.months import col
+from hanok.functions.months import col, let
 from hanok.functions.text import drop_prefix, drop_suffix, station_name
 
 
@@ -48,6 +48,9 @@ def tag_name(tags) -> Column:
     return station_name(F.coalesce(F.element_at(t, F.lit("name:ko")), F.element_at(t, F.lit("name"))))
 
 
+NUMBERED_LINE = r"(?<![0-9])[1-9]\s*(?:호선|Line)|(?:Line|LINE)\s*[1-9](?![0-9])"
+
+
 def line_labels(tags) -> Column:
     """Sorted line labels named in the tags of a station, stop area or route. A station name is not a line."""
     t = col(tags)
@@ -56,18 +59,23 @@ def line_labels(tags) -> Column:
         return F.element_at(t, F.lit(key))
 
     keys = ("name:ko", "name", "ref", "line", "network", "operator", "route")
-    s = F.concat_ws(" ", *[F.coalesce(tag(k), F.lit("")) for k in keys])
-    numbered = F.regexp_extract_all(
-        s, F.lit(r"(?<![0-9])[1-9]\s*(?:호선|Line)|(?:Line|LINE)\s*[1-9](?![0-9])"), F.lit(0)
-    )
-    digits = F.transform(numbered, lambda m: F.regexp_extract(m, "[1-9]", 0))
+    text = F.concat_ws(" ", *[F.coalesce(tag(k), F.lit("")) for k in keys])
     bare_ref = F.when((tag("route") == "subway") & tag("ref").rlike("^[1-9]$"), tag("ref"))
-    named = [F.when(F.contains(s, F.lit(token)), F.lit(label)) for token, label in fv.LINE_TOKENS]
-    found = F.array_distinct(F.concat(digits, F.array_compact(F.array(bare_ref, *named))))
-    # "Shinbundang" holds the word "Bundang": drop the other line unless it is named by itself.
-    only_new = F.array_contains(found, "신분당") & ~s.rlike(r"수인|(?<!신)분당|(?<!Shin)Bundang")
-    found = F.when(only_new, F.array_remove(found, "수인분당")).otherwise(found)
-    return F.array_sort(found)
+    tokens = F.array(*[F.struct(F.lit(a).alias("token"), F.lit(b).alias("label")) for a, b in fv.LINE_TOKENS])
+
+    def labels(s):
+        numbered = F.regexp_extract_all(s, F.lit(NUMBERED_LINE), F.lit(0))
+        digits = F.transform(numbered, lambda m: F.regexp_extract(m, "[1-9]", 0))
+        named = F.transform(F.filter(tokens, lambda x: F.contains(s, x["token"])), lambda x: x["label"])
+        return F.concat(digits, named)
+
+    def checked(found, s):
+        # "Shinbundang" holds the word "Bundang": drop the other line unless it is named by itself.
+        only_new = F.array_contains(found, "신분당") & ~s.rlike(r"수인|(?<!신)분당|(?<!Shin)Bundang")
+        return F.when(only_new, F.array_remove(found, "수인분당")).otherwise(found)
+
+    found = let(text, lambda s: let(labels(s), lambda f: checked(f, s)))
+    return F.array_sort(F.array_distinct(F.concat(found, F.array_compact(F.array(bare_ref)))))
 
 
 EARTH_RADIUS_M = 6371008.8

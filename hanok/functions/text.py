@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hanok.functions import fixed_values as fv
-from hanok.functions.months import col
+from hanok.functions.months import col, let
 
 KEPT = "0-9a-z가-힣"
 
@@ -48,16 +48,33 @@ def compatibility_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
+@lru_cache(maxsize=1)
+def _suspects() -> str:
+    """Character class of the code ranges that hold such characters; a range may cover others too."""
+    source, _, longer = compatibility_forms()
+    points = sorted(ord(ch) for ch in [*source, *longer])
+    ranges = [[points[0], points[0]]]
+    for point in points[1:]:
+        if point - ranges[-1][1] <= 64:
+            ranges[-1][1] = point
+        else:
+            ranges.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def compat(c) -> Column:
-    """Compatibility normalisation without Python: a per-character mapping.
+    """Compatibility normalisation without Python: a per-character mapping, only for texts that may need it.
 
     Equals NFKC on every kept character except Hangul written as separate jamo; use :func:`nfkc` for those.
     """
     source, target, longer = compatibility_forms()
-    s = F.translate(col(c), source, target)
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    expanded = F.array_join(F.transform(F.split(s, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
-    return F.when(s.rlike("[" + "".join(longer) + "]"), expanded).otherwise(s)
+    table = F.str_to_map(F.lit("\u0001".join(f"{a}\u0002{b}" for a, b in longer.items())), F.lit("\u0001"), F.lit("\u0002"))
+
+    def mapped(s):
+        single = F.translate(s, source, target)
+        return F.array_join(F.transform(F.split(single, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+
+    return F.when(col(c).rlike(_suspects()), mapped(col(c))).otherwise(col(c))
 
 
 @F.pandas_udf(T.StringType())
@@ -83,13 +100,14 @@ def norm(c, exact: bool = False) -> Column:
 
 def norm_name(c) -> Column:
     """As :func:`norm` but bracketed parts and ``apt`` go too, unless nothing would be left."""
-    raw = F.lower(F.coalesce(compat(c), F.lit("")))
 
     def strip(s):
-        s = F.regexp_replace(s, f"{fv.APARTMENT}", "")
-        return F.regexp_replace(F.regexp_replace(s, "apt", ""), f"[^{KEPT}]", "")
+        return F.regexp_replace(s, f"{fv.APARTMENT}|apt|[^{KEPT}]", "")
+
+    def both(raw):
+        return F.coalesce(F.nullif(strip(F.regexp_replace(raw, r"\([^)]*\)", "")), F.lit("")), strip(raw))
 
-    return F.coalesce(F.nullif(strip(F.regexp_replace(raw, r"\([^)]*\)", "")), F.lit("")), strip(raw))
+    return let(F.lower(F.coalesce(compat(c), F.lit(""))), both)
 
 
 def station_name(c) -> Column:
