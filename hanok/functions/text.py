@@ -17,9 +17,13 @@ from hanok.functions.months import col, let
 KEPT = "0-9a-z가-힣"
 
 
+# Characters that count as blank at the ends of a text.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2002\u2003\u2009\u3000"
+
+
 def clean(c) -> Column:
-    """Trimmed text; null becomes the empty text."""
-    return F.coalesce(F.trim(F.regexp_replace(col(c).cast("string"), r"^\s+|\s+$", "")), F.lit(""))
+    """Text without blanks at its ends; null becomes the empty text."""
+    return F.coalesce(F.btrim(col(c).cast("string"), F.lit(BLANKS)), F.lit(""))
 
 
 def first_nonblank(*cols) -> Column:
@@ -48,11 +52,11 @@ def compatibility_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), longer
 
 
-@lru_cache(maxsize=1)
-def _suspects() -> str:
+@lru_cache(maxsize=2)
+def _suspects(expanding: bool = False) -> str:
     """Character class of the code ranges that hold such characters; a range may cover others too."""
     source, _, longer = compatibility_forms()
-    points = sorted(ord(ch) for ch in [*source, *longer])
+    points = sorted(ord(ch) for ch in ([*longer] if expanding else [*source, *longer]))
     ranges = [[points[0], points[0]]]
     for point in points[1:]:
         if point - ranges[-1][1] <= 64:
@@ -65,14 +69,15 @@ def _suspects() -> str:
 def compat(c) -> Column:
     """Compatibility normalisation without Python: a per-character mapping, only for texts that may need it.
 
-    Equals NFKC on every kept character except Hangul written as separate jamo; use :func:`nfkc` for those.
+    Equals NFKC on every kept character unless the text holds combining marks or separate jamo; use :func:`nfkc` for those.
     """
     source, target, longer = compatibility_forms()
     table = F.str_to_map(F.lit("\u0001".join(f"{a}\u0002{b}" for a, b in longer.items())), F.lit("\u0001"), F.lit("\u0002"))
 
     def mapped(s):
         single = F.translate(s, source, target)
-        return F.array_join(F.transform(F.split(single, ""), lambda ch: F.coalesce(F.element_at(table, ch), ch)), "")
+        found = F.array_distinct(F.regexp_extract_all(s, F.lit(_suspects(expanding=True)), F.lit(0)))
+        return F.aggregate(found, single, lambda acc, ch: F.replace(acc, ch, F.coalesce(F.element_at(table, ch), ch)))
 
     return F.when(col(c).rlike(_suspects()), mapped(col(c))).otherwise(col(c))
 
@@ -95,7 +100,7 @@ def norm(c, exact: bool = False) -> Column:
     """Letters and digits of a name, lower case, without the word for apartment."""
     s = nfkc(col(c)) if exact else compat(c)
     s = F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit(fv.APARTMENT), F.lit(""))
-    return F.regexp_replace(s, f"[^{KEPT}]", "")
+    return F.regexp_replace(s, f"[^{KEPT}]+", "")
 
 
 def norm_name(c) -> Column:

@@ -6,17 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
-from hanok.functions.months import col, seoul_date_of_epoch_ms
+from hanok.functions.months import col, let, seoul_date_of_epoch_ms
 from hanok.functions.text import clean, first_nonblank
 
-NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-
 
 def number(c) -> Column:
     """Finite number from text with thousands commas, else null."""
     s = F.replace(clean(c), F.lit(","), F.lit(""))
-    value = F.when(s.rlike(NUMERIC), s.try_cast("double"))
-    return F.when(~F.abs(value).isin(float("inf")), value)
+    value = s.try_cast("double")
+    # a type suffix or a hexadecimal number is no number here; infinities and NaN differ from themselves less zero
+    return F.when((value - value == 0) & ~F.lower(F.right(s, F.lit(1))).isin("d", "f") & ~F.contains(s, F.lit("x")), value)
 
 
 def loose_number(c) -> Column:
@@ -31,33 +30,36 @@ def whole(c) -> Column:
 
 def integer(c) -> Column:
     """Whole number of a text that holds nothing else, else null."""
-    s = F.replace(clean(c), F.lit(","), F.lit(""))
-    return F.when(s.rlike("^[+-]?[0-9]+$"), s.try_cast("bigint"))
+    return F.replace(clean(c), F.lit(","), F.lit("")).try_cast("bigint")
+
+
+def calendar_date(year, month, day) -> Column:
+    """Date of three whole numbers, null when there is no such day."""
+    zero = F.lit(0)
+    return F.try_make_timestamp_ntz(year, month, day, zero, zero, zero.cast("decimal(8,6)")).cast("date")
 
 
 def compact_date(c) -> Column:
     """Date of the first eight digits ``yyyyMMdd``, null when invalid."""
     s = F.substring(clean(c), 1, 8)
-    return F.when(s.rlike("^[0-9]{8}$"), F.try_to_date(s, "yyyyMMdd"))
+    n = F.when(F.length(s) == 8, s.try_cast("int"))
+    return calendar_date(F.floor(n / 10000).cast("int"), F.floor(F.pmod(n, F.lit(10000)) / 100).cast("int"), F.pmod(n, F.lit(100)))
 
 
 def disclosed_date(value, query_year) -> Column:
     """Date of ``MM.DD`` (year of the query), ``YY.MM.DD`` / ``YYYY.MM.DD`` or ``yyyyMMdd``; null when invalid."""
-    parts = F.regexp_extract_all(clean(value), F.lit("([0-9]+)"), F.lit(1))
-    numbers = F.transform(parts, lambda p: p.try_cast("int"))
-    n = F.size(parts)
-
-    def build(y, m, d):
-        text = F.format_string("%04d%02d%02d", y, m, d)
-        return F.when(F.length(text) == 8, F.try_to_date(text, "yyyyMMdd"))
-
-    year = F.get(numbers, 0)
-    full_year = F.when(year < 100, year + 2000).otherwise(year)
-    return (
-        F.when(n == 2, build(col(query_year).cast("int"), F.get(numbers, 0), F.get(numbers, 1)))
-        .when(n == 3, build(full_year, F.get(numbers, 1), F.get(numbers, 2)))
-        .when((n == 1) & (F.length(F.get(parts, 0)) == 8), compact_date(F.get(parts, 0)))
-    )
+
+    def parse(parts):
+        n = F.size(parts)
+        a, b, c = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
+        full_year = F.when(a < 100, a + 2000).otherwise(a)
+        return (
+            F.when(n == 2, calendar_date(col(query_year).cast("int"), a, b))
+            .when(n == 3, calendar_date(full_year, b, c))
+            .when((n == 1) & (F.length(F.get(parts, 0)) == 8), compact_date(F.get(parts, 0)))
+        )
+
+    return let(F.regexp_extract_all(clean(value), F.lit("([0-9]+)"), F.lit(1)), parse)
 
 
 def completed(use_date, build_year=None) -> Column:

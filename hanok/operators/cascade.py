@@ -11,6 +11,7 @@ from hanok.functions.parcels import pnu_identity
 from hanok.functions.text import canonical_name, clean, name_key, norm
 from hanok.functions.values import disclosed_date, number
 from hanok.operators import guards
+from hanok.session import cut
 
 GRAM = 4  # a contained name counts from this length on
 SITE = ["region", "dong", "land_kind", "parcel", "build_year"]
@@ -92,7 +93,8 @@ def resolve(keys: DataFrame, complexes: DataFrame) -> DataFrame:
     names = catalogue_names(complexes)
     lots = names.select("complex_id", "region", "dong", "build_year", F.explode("metadata_parcels").alias("p"), "n", "k")
     lots = lots.select("*", F.col("p.kind").alias("land_kind"), F.col("p.parcel").alias("parcel")).drop("p")
-    probe = keys.select(*KEY).filter("parcel is not null").distinct()
+    # written once: the steps below all start from it
+    probe = cut(keys.select(*KEY).filter("parcel is not null").distinct())
 
     exact = _only(probe.join(lots.withColumnRenamed("n", "trade_name"), KEY), KEY, "exact_id")
 

@@ -1,7 +1,8 @@
 """Linking official sales and leases to complexes by strict keys.
 
-Trades are first reduced to their distinct keys. Only those are matched, and the outcome is joined back; a key that
-holds a third of all trades is matched once, and the join back is a plain equi-join that adaptive execution splits.
+Trades meet the catalogue through lookups with one row per key. Counted and small, these are broadcast and the trades
+are read once, whatever the distribution of their keys; otherwise the distinct keys of the trades are matched and the
+outcome is joined back by one equi-join, which adaptive execution splits at hot keys.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from hanok.functions.parcels import parcel
 from hanok.functions.text import clean, norm
 from hanok.functions.values import compact_date, integer, number
 from hanok.operators import guards
+from hanok.operators.sizes import MAX_ROWS, lookup
 
 KEY = ["region", "legal_dong", "parcel", "trade_name", "build_year"]
 
@@ -71,7 +73,7 @@ def binding_conflicts(bindings: DataFrame, complexes: DataFrame) -> DataFrame:
 def name_index(complexes: DataFrame, aliases: bool = True) -> DataFrame:
     """Every (region, dong, year, normalised name) that belongs to exactly one complex."""
     names = [norm("name"), norm("official_name")]
-    known = F.array_distinct(F.concat(F.array(*names), F.transform(F.coalesce("aliases", F.array()), norm))) if aliases else F.array_distinct(F.array(*names))
+    known = F.array_distinct(F.concat(F.array(*names), F.coalesce(F.transform("aliases", lambda a: norm(a)), F.array().cast("array<string>")))) if aliases else F.array_distinct(F.array(*names))
     exploded = complexes.select("region", "legal_dong", "build_year", "complex_id", F.explode(known).alias("trade_name"))
     return (
         exploded.groupBy("region", "legal_dong", "build_year", "trade_name")
@@ -81,32 +83,39 @@ def name_index(complexes: DataFrame, aliases: bool = True) -> DataFrame:
     )
 
 
-def resolve_keys(keys: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale") -> DataFrame:
-    """Match distinct keys: the binding list first, then one exact name whose parcel is known.
+def resolve(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale", max_lookup: int = MAX_ROWS) -> DataFrame:
+    """Add ``complex_id`` and ``method``: the binding list first, then one exact name whose parcel is known.
 
     ``mode="lease"`` uses name and official name only, and the parcel must be in the binding list; for sales, aliases
-    and the catalogue's own parcel count too. Adds ``complex_id`` and ``method``, null where nothing matches.
+    and the catalogue's own parcel count too. Every lookup has one row per key, so rows are neither lost nor doubled.
     """
     strict = binding_map(bindings, complexes)
-    direct = keys.join(strict.withColumnRenamed("complex_id", "_bound"), KEY, "left")
     known = strict.select("complex_id", "parcel")
     if mode == "sale":
         own = complexes.select("complex_id", clean("metadata_jibun").alias("parcel")).filter("parcel <> ''")
         known = known.unionByName(own)
-    known = known.distinct().withColumn("_known", F.lit(True))
+    known = known.distinct().withColumn("_known", F.lit(True)).withColumnRenamed("complex_id", "_named")
     by_name = name_index(complexes, aliases=mode == "sale").withColumnRenamed("complex_id", "_named")
-    found = direct.join(by_name, ["region", "legal_dong", "build_year", "trade_name"], "left").join(
-        known.withColumnRenamed("complex_id", "_named"), ["_named", "parcel"], "left"
+    found = (
+        rows.join(lookup(strict.withColumnRenamed("complex_id", "_bound"), max_lookup), KEY, "left")
+        .join(lookup(by_name, max_lookup), ["region", "legal_dong", "build_year", "trade_name"], "left")
+        .join(lookup(known, max_lookup), ["_named", "parcel"], "left")
     )
     chosen = F.coalesce("_bound", F.when(F.col("_known"), F.col("_named")))
     method = F.when(F.col("_bound").isNotNull(), "binding").when(F.col("_known"), "exact_name")
-    return found.select(*KEY, chosen.alias("complex_id"), method.alias("method"))
+    return found.select(*rows.columns, chosen.alias("complex_id"), method.alias("method"))
 
 
-def link(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale") -> DataFrame:
-    """Add ``complex_id`` and ``method`` to rows that carry the key columns."""
+def link(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale", max_lookup: int = MAX_ROWS) -> DataFrame:
+    """Add ``complex_id`` and ``method`` to rows that carry the key columns.
+
+    With counted, broadcast lookups the rows are matched in one pass and never shuffled. Where a lookup is too large
+    for that, the distinct keys are matched instead and joined back once.
+    """
+    if complexes.limit(max_lookup + 1).count() <= max_lookup and bindings.limit(max_lookup + 1).count() <= max_lookup:
+        return resolve(rows, bindings, complexes, mode, max_lookup * 8)
     keys = rows.select(*KEY).distinct()
-    return rows.join(resolve_keys(keys, bindings, complexes, mode), KEY, "left")
+    return rows.join(resolve(keys, bindings, complexes, mode, max_lookup), KEY, "left")
 
 
 def linked_sales(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:

@@ -1,0 +1,17 @@
+"""Broadcasting only what has been counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 500_000
+
+
+def lookup(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """A narrow lookup table, with a broadcast hint only if a bounded count proves it small.
+
+    A larger table is returned as it is: the join then shuffles, and adaptive execution splits hot keys.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df
