@@ -90,10 +90,10 @@ def resolve(keys: DataFrame, complexes: DataFrame) -> DataFrame:
     name of six letters or more, where one of the two sources has no parcel. Step 2 joins on the first four letters of
     the shorter name against the four-letter runs of the longer, so unrelated names of one parcel never meet.
     """
-    names = catalogue_names(complexes)
+    names = cut(catalogue_names(complexes))
+    # names and probe are written once: every step below starts from them
     lots = names.select("complex_id", "region", "dong", "build_year", F.explode("metadata_parcels").alias("p"), "n", "k")
     lots = lots.select("*", F.col("p.kind").alias("land_kind"), F.col("p.parcel").alias("parcel")).drop("p")
-    # written once: the steps below all start from it
     probe = cut(keys.select(*KEY).filter("parcel is not null").distinct())
 
     exact = _only(probe.join(lots.withColumnRenamed("n", "trade_name"), KEY), KEY, "exact_id")
