@@ -26,14 +26,19 @@ def _group(c, pattern: str, i: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
 
 
-def archive_index(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Yearly archives offered: year, download number, publication stamp; the last row of a year wins."""
-    rows = blocks(pages, html, ARCHIVE_ROW).select(
-        "pos", _group("block", ARCHIVE_YEAR, 1).cast("int").alias("year"), _group("block", ARCHIVE_SEQ, 1).alias("seq"),
-        F.regexp_extract("block", ARCHIVE_STAMP, 1).alias("published"),
+def archive_index(pages: DataFrame, html: str = "html", page_order: str | None = None) -> DataFrame:
+    """Yearly archives offered: year, download number, publication stamp; the last row of a year wins.
+
+    ``page_order`` orders the pages of a listing that has several.
+    """
+    page = F.col(page_order) if page_order else F.lit(0)
+    numbered = pages.select(page.alias("page"), html)
+    rows = blocks(numbered, html, ARCHIVE_ROW, "page").select(
+        F.struct("page", "pos").alias("at"), _group("block", ARCHIVE_YEAR, 1).cast("int").alias("year"),
+        _group("block", ARCHIVE_SEQ, 1).alias("seq"), F.regexp_extract("block", ARCHIVE_STAMP, 1).alias("published"),
     )
     kept = rows.filter("year is not null and seq is not null")
-    return kept.groupBy("year").agg(F.max_by(F.struct("seq", "published"), "pos").alias("r")).select("year", "r.*")
+    return kept.groupBy("year").agg(F.max_by(F.struct("seq", "published"), "at").alias("r")).select("year", "r.*")
 
 
 def latest_attachment(pages: DataFrame, html: str = "html") -> DataFrame:
