@@ -30,6 +30,8 @@ def all_of(*frames: DataFrame) -> DataFrame:
 
 def enforce(*frames: DataFrame, shown: int = 20) -> None:
     """Fail the run when any rule is broken. Only a few rows reach the driver, for the message."""
+    if not frames:
+        return
     found = all_of(*frames).limit(shown).collect()
     if found:
         raise GuardError("; ".join(f"{r.guard}: {r.key} {r.detail}".strip() for r in found))

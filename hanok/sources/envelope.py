@@ -17,7 +17,7 @@ def read_envelopes(spark: SparkSession, path: str, lines: bool = False) -> DataF
 
     ``lines=True`` reads many envelopes per file, one per line, which Spark can split.
     """
-    text = spark.read.option("wholetext", not lines).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    text = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_name").alias("file"), "value")
     parsed = text.withColumn("rows", F.from_json("value", ROWS)["DATA"])
     low = F.transform("rows", lambda m: F.transform_keys(m, lambda k, v: F.lower(k)))
     return parsed.select("file", low.alias("rows"))
