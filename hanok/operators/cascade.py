@@ -11,6 +11,7 @@ from hanok.functions.parcels import pnu_identity
 from hanok.functions.text import canonical_name, clean, name_key, norm
 from hanok.functions.values import disclosed_date, number
 from hanok.operators import guards
+from hanok.operators.sizes import lookup
 from hanok.session import cut
 
 GRAM = 4  # a contained name counts from this length on
@@ -30,20 +31,34 @@ def _not_whole(c) -> Column:
     return F.coalesce(n != F.floor(n), F.lit(True))
 
 
+RAW_SITE = ["region", "canonical_dong", "eup_scope", "eup_name", "UMD_NM", "PNU", "MVIN_YM", "KAB_APTNM"]
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """Rows with their parsed identity: parcel id, legal dong and normalised name.
+
+    Parsed once per distinct spelling and looked up by the rows, so the number of buildings decides the cost.
+    """
+    blank = [c for c in RAW_SITE if c != "eup_scope"]
+    texts = rows.drop("dong").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in blank})
+    sites = cut(texts.select(*RAW_SITE).distinct())
+    sites = sites.withColumn("legal_dong", effective_dong("UMD_NM", "eup_scope", "eup_name", "canonical_dong")).select(
+        *RAW_SITE, "legal_dong", norm(F.coalesce("legal_dong", F.lit(""))).alias("dong"), pnu_identity("PNU", "MVIN_YM").alias("i"),
+        F.trim("KAB_APTNM").alias("building"), norm("KAB_APTNM").alias("trade_name"),
+    )
+    return texts.join(lookup(sites), RAW_SITE)
+
+
 def contracts(rows: DataFrame) -> DataFrame:
     """One record per contract: column group A is the sale, B the deposit lease; group C (monthly rent) is not read.
 
     ``rows`` carries the request (``code, dong_code, year, region, dong, canonical_dong, eup_scope, eup_name``).
     ``excluded`` holds the first reason for which a row does not count.
     """
-    identity = pnu_identity("PNU", "MVIN_YM")
-    with_id = rows.withColumn("i", identity).withColumn(
-        "legal_dong", effective_dong("UMD_NM", "eup_scope", "eup_name", "canonical_dong")
-    )
+    with_id = identified(rows)
     cancelled = clean("DPOS_GBN") != ""
     two = with_id.select(
-        "code", "dong_code", "year", "region", "eup_scope", "legal_dong", "i",
-        F.trim("KAB_APTNM").alias("building"), norm(F.coalesce("KAB_APTNM", F.lit(""))).alias("trade_name"),
+        "code", "dong_code", "year", "region", "eup_scope", "legal_dong", "dong", "i", "building", "trade_name",
         clean("BLDG_MUSE_CD").alias("use"), "BLDG_AREA", cancelled.alias("_cancelled"),
         F.expr("stack(2, 'sale', A11, A21, A31, 'lease', B11, B21, B31) as (side, _date, _price, _floor)"),
     ).filter((clean("_date") != "") & (clean("_price") != ""))
@@ -56,7 +71,7 @@ def contracts(rows: DataFrame) -> DataFrame:
     return two.select(
         "code", "dong_code", "year", "region", "eup_scope", "legal_dong", "building", "trade_name", "side",
         F.col("i.district").alias("id_district"), F.col("i.dong").alias("id_dong"),
-        norm(F.coalesce("legal_dong", F.lit(""))).alias("dong"), F.col("i.kind").alias("land_kind"),
+        "dong", F.col("i.kind").alias("land_kind"),
         F.col("i.parcel").alias("parcel"), F.col("i.year").alias("build_year"),
         date.alias("date"), ym_of_date(date).alias("ym"), number("BLDG_AREA").alias("area"),
         number("_floor").cast("int").alias("floor"), number("_price").cast("bigint").alias("price"),
@@ -130,13 +145,14 @@ def resolve(keys: DataFrame, complexes: DataFrame) -> DataFrame:
         .when(F.col("equivalent_id").isNotNull(), "parcel_normalized_name_year")
         .when(F.col("fallback_id").isNotNull(), "exact_name_dong_year_missing_parcel")
     )
-    return out.select(*KEY, F.coalesce(first, "equivalent_id", "fallback_id").alias("complex_id"), method.alias("method"))
+    return cut(out.select(*KEY, F.coalesce(first, "equivalent_id", "fallback_id").alias("complex_id"), method.alias("method")))
 
 
 def linked_contracts(contract_rows: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:
     """Contracts of the period with their complex and ``outcome``. A cancelled sale leaves the lease of its row alone."""
     counted = contract_rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
-    found = counted.join(resolve(counted.select(*KEY).distinct(), complexes), KEY, "left")
+    # keys are taken from all rows: that pass reads the key columns only
+    found = counted.join(lookup(resolve(contract_rows.select(*KEY).distinct(), complexes)), KEY, "left")
     outcome = (
         F.when(F.col("complex_id").isNull(), "unmatched")
         .when(F.col("cancelled"), "cancelled_sale")

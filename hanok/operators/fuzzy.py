@@ -31,13 +31,15 @@ def dong_bonus(a, b):
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 0.04).when(apart, -0.04).otherwise(0.0)
 
 
+def _tokens(key: str):
+    """Characters of a name in order, the i-th copy of a character being one of its own."""
+    s = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
+    return F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string")))
+
+
 def _signed(names: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
     """(region, name) with the prefix characters it has to share with any partner of ratio ``least`` or more."""
-    chars = F.filter(F.split(key, ""), lambda c: c != "")
-    sorted_chars = F.array_sort(chars)
-    # the i-th copy of a character is a character of its own
-    tokens = F.transform(sorted_chars, lambda c, i: F.concat(c, (i - F.array_position(sorted_chars, c) + 1).cast("string")))
-    rows = names.select("region", key, F.explode(tokens).alias("token")).join(rarity, "token", "left")
+    rows = names.select("region", key, F.explode(_tokens(key)).alias("token")).join(rarity, "token", "left")
     packed = rows.groupBy("region", key).agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("f"), F.col("token").alias("t")))).alias("ts")
     )
@@ -54,10 +56,7 @@ def similar_names(trade_names: DataFrame, catalogue_names: DataFrame, least: flo
 
     Inputs hold distinct (region, trade_name) and (region, name).
     """
-    chars = F.filter(F.split("name", ""), lambda c: c != "")
-    s = F.array_sort(chars)
-    token = F.explode(F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string"))))
-    rarity = catalogue_names.select(token.alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    rarity = catalogue_names.select(F.explode(_tokens("name")).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
     a = _signed(trade_names, "trade_name", rarity, least)
     b = _signed(catalogue_names, "name", rarity, least)
     pairs = a.join(b, ["region", "token"]).select("region", "trade_name", "name").distinct()
@@ -65,9 +64,8 @@ def similar_names(trade_names: DataFrame, catalogue_names: DataFrame, least: flo
     pairs = pairs.filter((F.col("trade_name") != F.col("name")) & (2.0 * F.least(la, lb) >= least * (la + lb) - 1e-9))
     inside = F.contains("trade_name", F.col("name")) | F.contains("name", F.col("trade_name"))
     scored = pairs.withColumn("inside", inside).withColumn("ratio", seq_ratio("trade_name", "name"))
-    return scored.withColumn("base", F.when(F.col("inside"), CONTAINED).otherwise(F.col("ratio"))).select(
-        "region", "trade_name", "name", "base"
-    )
+    base = F.when(F.col("inside"), CONTAINED).otherwise(F.col("ratio"))
+    return scored.withColumn("base", base).filter(F.col("base") >= least).select("region", "trade_name", "name", "base")
 
 
 def contained_names(trade_names: DataFrame, catalogue_names: DataFrame) -> DataFrame:
