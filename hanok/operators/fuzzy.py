@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions.text import norm_name, seq_ratio
+from hanok.session import cut
 
 POOL_THRESHOLD, REGION_THRESHOLD = 0.74, 0.80
 CONTAINED = 0.92
@@ -99,15 +100,16 @@ def best_match(keys: DataFrame, complexes: DataFrame) -> DataFrame:
     ``complexes`` needs ``ord``, the catalogue order, which breaks ties. Where some name of the region is equal, only
     those complexes compete and the lower threshold applies; otherwise every complex of the region does.
     """
-    k = keys.withColumn("trade_name", norm_name("raw_name"))
+    # keys, catalogue and unmatched names are written once: every branch below starts from them
+    k = cut(keys.withColumn("trade_name", norm_name("raw_name")))
     c = complexes.select("complex_id", "region", norm_name("name").alias("name"), F.col("build_year").alias("c_year"), F.col("legal_dong").alias("c_dong"), "ord")
     # complexes that look the same to the score compete as one: the first in catalogue order
-    seen = c.groupBy("region", "name", "c_year", "c_dong").agg(F.min(F.struct("ord", "complex_id")).alias("first"))
+    seen = cut(c.groupBy("region", "name", "c_year", "c_dong").agg(F.min(F.struct("ord", "complex_id")).alias("first")))
 
     trade_names = k.filter("trade_name <> ''").select("region", "trade_name").distinct()
     names = seen.filter("name <> ''").select("region", "name").distinct()
     equal = names.select("region", F.col("name").alias("trade_name")).join(trade_names, ["region", "trade_name"])
-    rest = trade_names.join(equal, ["region", "trade_name"], "left_anti")
+    rest = cut(trade_names.join(equal, ["region", "trade_name"], "left_anti"))
     near = similar_names(rest, names).unionByName(contained_names(rest, names))
     bases = near.groupBy("region", "trade_name", "name").agg(F.max("base").alias("base"))
     bases = bases.withColumn("least", F.lit(REGION_THRESHOLD)).unionByName(
@@ -120,6 +122,8 @@ def best_match(keys: DataFrame, complexes: DataFrame) -> DataFrame:
         .withColumn("score", F.col("base") + year_bonus("build_year", "c_year") + dong_bonus("legal_dong", "c_dong"))
     )
     by = ["region", "raw_name", "build_year", "legal_dong"]
-    best = scored.groupBy(*by).agg(F.max(F.struct("score", (-F.col("first.ord")).alias("o"), F.col("first.complex_id").alias("complex_id"), "least")).alias("m"))
-    accepted = best.filter(F.col("m.score") >= F.col("m.least")).select(*by, F.col("m.complex_id").alias("complex_id"), F.col("m.score").alias("score"))
+    # below the threshold a candidate cannot win, so only the others reach the aggregate
+    good = scored.filter(F.col("score") >= F.col("least"))
+    best = good.groupBy(*by).agg(F.max(F.struct("score", (-F.col("first.ord")).alias("o"), F.col("first.complex_id").alias("complex_id"))).alias("m"))
+    accepted = best.select(*by, F.col("m.complex_id").alias("complex_id"), F.col("m.score").alias("score"))
     return k.select(*by).join(accepted, by, "left")
