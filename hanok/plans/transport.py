@@ -11,6 +11,7 @@ from hanok.operators import graph, guards, spatial
 from hanok.operators import stations as st
 from hanok.operators.enrich import apply_transport
 from hanok.plans.official import Outcome
+from hanok.session import cut
 
 CENTRE = ((fv.NETWORK_BOX[0] + fv.NETWORK_BOX[2]) / 2, (fv.NETWORK_BOX[1] + fv.NETWORK_BOX[3]) / 2)
 
@@ -38,8 +39,9 @@ def station_groups(nodes: DataFrame, relations: DataFrame, centre=CENTRE) -> Dat
 
 def link_stations(complexes: DataFrame, official_points: DataFrame, nodes: DataFrame, ways: DataFrame, relations: DataFrame, prior_links: DataFrame | None = None) -> Outcome:
     """Every complex with the stations within walking reach."""
-    edges = network(ways)
-    grouped = station_groups(nodes, relations)
+    # the network, the stations and the walks are each used several times below: written once
+    edges = cut(network(ways))
+    grouped = cut(station_groups(nodes, relations))
     gates = st.entrances(grouped.select("id", "name", "group_id"), nodes, relations)
     ends = with_plane(st.endpoints(grouped, gates))
     snapped_ends = spatial.snap(ends, edges, fv.SNAP_ENDPOINT_M)
@@ -48,7 +50,7 @@ def link_stations(complexes: DataFrame, official_points: DataFrame, nodes: DataF
     )
     located = st.choose_coordinates(complexes, official_points)
     origins = with_plane(located.filter("coordinate_source is not null").select("complex_id", "lon", "lat"))
-    snapped = spatial.snap(origins, edges, fv.SNAP_ORIGIN_M)
+    snapped = cut(spatial.snap(origins, edges, fv.SNAP_ORIGIN_M))
     entry = spatial.starts(snapped, "complex_id").select(F.col("complex_id").alias("source"), "node", "dist")
     paths = graph.bounded_paths(entry, edges.select("a", "b", "length"), fv.WALK_LIMIT_M)
     walks = st.reach(paths, tails)
@@ -59,7 +61,7 @@ def link_stations(complexes: DataFrame, official_points: DataFrame, nodes: DataF
         F.col("source").alias("complex_id"), F.concat("name", F.lit("역")).alias("station"), "lines", "distance_m", "minutes", "endpoint"
     )
     # stations of one name count once per complex, by the shortest walk
-    nearest = named.groupBy("complex_id", "station").agg(F.min_by(F.struct("lines", "distance_m", "minutes", "endpoint"), "distance_m").alias("w")).select("complex_id", "station", "w.*")
+    nearest = cut(named.groupBy("complex_id", "station").agg(F.min_by(F.struct("lines", "distance_m", "minutes", "endpoint"), "distance_m").alias("w")).select("complex_id", "station", "w.*"))
     links = st.link_status(located, snapped, nearest)
     out, problems = apply_transport(complexes.drop("station", "station_display"), links, nearest)
     problems = [problems]
