@@ -137,7 +137,7 @@ def archive_index(star):
 @query("latest_attachment", "S8", """SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, '' || o_orderkey AS seq, '1' AS number FROM orders WHERE o_orderstatus = 'F' AND year(o_orderdate) >= 2000 ORDER BY 1 DESC, 2 DESC LIMIT 1""")
 def latest_attachment(star):
     o = star.table("orders")
-    title = F.when(F.col("o_orderstatus") == "F", "K-apt 관리비공개의무단지 기본정보").otherwise("다른 자료")
+    title = F.when(F.col("o_orderstatus") == "F", "관리비공개의무단지 기본정보").otherwise("다른 자료")
     row = F.concat(F.lit("<li>"), title, F.lit("("), F.date_format("o_orderdate", "yyyy.MM.dd"), F.lit(""")<a href="javascript:fileDown('"""), F.col("o_orderkey").cast("string"), F.lit("""','03','1');"></a></li>"""))
     return ls.latest_attachment(o.select(F.concat(F.lit("<ul><li>다른 자료</li>"), row, F.lit("</ul>")).alias("html")))
 
