@@ -24,7 +24,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanok.llm.columnar import LOWERED, blocks, text_bytes
@@ -81,6 +81,11 @@ def text_model(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> np.ndar
     return np.log(table / table.sum(axis=1, keepdims=True))
 
 
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    powers = np.exp(scores - scores.max(axis=0))
+    return powers / powers.sum(axis=0)
+
+
 def _scores(model: np.ndarray, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,43 +99,64 @@ def _scores(model: np.ndarray, names: list[str]):
                 out[-1, a:b] = np.diff(at)
                 for k, row in enumerate(model):
                     out[k, a:b] = np.diff(np.concatenate([[0.0], np.cumsum(row[bucket])])[at])
+            own = np.where(out[-1] > 0, _softmax(TEMPER * out[:-1]), 0.0)[: len(model) - 1]
             kept = [batch.column(c) for c in ("doc_id", "declared", "host")]
-            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, out)], names=["doc_id", "declared", "host", *names, "letters"])
+            yield pa.RecordBatch.from_arrays([*kept, *map(pa.array, out), *map(pa.array, own)], names=["doc_id", "declared", "host", *names, "letters", *[f"p{i}" for i in range(len(own))]])
 
     return run
 
 
-def _softmax(scores: dict[str, Column]) -> dict[str, Column]:
-    most = F.greatest(*scores.values())
-    powers = {k: F.exp(v - most) for k, v in scores.items()}
-    total = sum(powers.values(), F.lit(0.0))
-    return {k: v / total for k, v in powers.items()}
+def _fuse(said: np.ndarray, share: np.ndarray, languages: Sequence[str], accept: float):
+    """Posterior of every row from its text scores, its declaration (``said``: log-chance by declared and true language)
+    and the sums of its host (h), domain (d) and suffix (x) without its own part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, kinds = len(languages), np.array([*languages, UNKNOWN])
+        for batch in batches:
+
+            def columns(letter: str, count: int = n) -> np.ndarray:
+                return np.stack([batch.column(f"{letter}{i}").to_numpy() for i in range(count)])
+
+            text, own = TEMPER * columns("s", n + 1), columns("p")
+            prior = np.repeat(share[:, None], batch.num_rows, axis=1)
+            for level in "xdh":
+                rest = np.maximum(columns(level) - own, 0.0)
+                prior = (rest + DRAW * prior) / (rest.sum(axis=0) + DRAW)
+            told = np.array([languages.index(d) if d else -1 for d in batch.column("declared").to_pylist()], np.int64)
+            stated = np.where(told >= 0, said[told].T, 0.0)
+            chance = text.copy()
+            chance[:n] += stated + np.log((1 - UNKNOWN_PRIOR) * np.maximum(prior, 1e-9))
+            chance[n] += np.where(told >= 0, -np.log(n), 0.0) + np.log(UNKNOWN_PRIOR)
+            fused, letters = _softmax(chance), batch.column("letters").to_numpy()
+            read = letters > 0
+            best = np.where(read, fused.argmax(axis=0), n)
+            alone = np.where(read, text.argmax(axis=0), n)
+            sure = np.where(read, fused.max(axis=0), 1.0)
+            out = [kinds[best], sure, read & (best < n) & (sure >= accept), kinds[alone], letters.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], names=["doc_id", "language", "confidence", "accepted", "text_language", "letters"])
+
+    return run
 
 
 def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, language, confidence, accepted, text_language, letters), one row per row of ``rows(doc_id, text, declared, host)``."""
-    kinds = [*languages, UNKNOWN]
     host = F.lower(F.coalesce(F.col("host").cast("string"), F.lit("")))
     declared = F.split(F.lower(F.trim(F.col("declared").cast("string"))), "[-_]")[0]
     narrow = rows.select("doc_id", F.col("text").cast("string").alias("text"), declared.alias("declared"), host.alias("host"))
     narrow = narrow.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")))
-    names = [f"s{i}" for i in range(len(kinds))]
-    id_type = dict(narrow.dtypes)["doc_id"]
-    schema = f"doc_id {id_type}, declared string, host string, {', '.join(f'{n} double' for n in names)}, letters double"
-    scored = narrow.mapInArrow(_scores(text_model(narrow.select("text", "declared"), languages), names), schema)
-    by_text = _softmax({k: TEMPER * F.col(n) for k, n in zip(kinds, names, strict=True)})
-    scored = scored.withColumns({f"p{i}": F.when(F.col("letters") > 0, by_text[k]).otherwise(0.0) for i, k in enumerate(languages)})
-    scored = staged(scored, "language-scores")
-    own = [f"p{i}" for i in range(len(languages))]
+    names = [f"s{i}" for i in range(len(languages) + 1)]
+    id_type, n = dict(narrow.dtypes)["doc_id"], len(languages)
+    own = [f"p{i}" for i in range(n)]
+    schema = f"doc_id {id_type}, declared string, host string, {', '.join(f'{c} double' for c in [*names, 'letters', *own])}"
+    model = text_model(narrow.select("text", "declared"), languages)
+    scored = staged(narrow.mapInArrow(_scores(model, names), schema), "language-scores")
 
     # declarations: chance of each declared language given the text's language, and the overall shares
-    n = len(languages)
     sums = scored.groupBy("declared").agg(*[F.sum(p).alias(p) for p in own]).collect()  # a row per language and one for null
-    weight = {r["declared"]: [r[p] or 0.0 for p in own] for r in sums}
-    overall = [sum(w[i] for w in weight.values()) + 1.0 for i in range(n)]
-    share = [x / sum(overall) for x in overall]
-    stated = [sum(weight.get(d, [0.0] * n)[i] for d in languages) for i in range(n)]
-    said = {d: [(weight.get(d, [0.0] * n)[i] + DECLARED_DRAW / n) / (stated[i] + DECLARED_DRAW) for i in range(n)] for d in languages}
+    weight = {r["declared"]: np.array([r[p] or 0.0 for p in own]) for r in sums}
+    by_declared = np.stack([weight.get(d, np.zeros(n)) for d in languages])
+    overall = sum(weight.values(), np.ones(n))
+    said = np.log((by_declared + DECLARED_DRAW / n) / (by_declared.sum(axis=0) + DECLARED_DRAW))
 
     # address levels: sums by host, then by domain and suffix from the hosts' sums
     hosts = scored.groupBy("host").agg(*[F.sum(p).alias(f"h{i}") for i, p in enumerate(own)])
@@ -139,36 +165,8 @@ def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES, accept: floa
     for level, short in (("domain", "d"), ("suffix", "x")):
         hosts = hosts.join(hosts.groupBy(level).agg(*[F.sum(f"h{i}").alias(f"{short}{i}") for i in range(n)]), level)
     met = scored.join(hosts.select("host", *[f"{c}{i}" for c in "hdx" for i in range(n)]), "host")
-    prior = [F.lit(x) for x in share]
-    for c in "xdh":
-        rest = [F.greatest(F.col(f"{c}{i}") - F.col(p), F.lit(0.0)) for i, p in enumerate(own)]
-        total = sum(rest, F.lit(0.0))
-        prior = [(r + DRAW * above) / (total + DRAW) for r, above in zip(rest, prior, strict=True)]
-        met = met.withColumns({f"q{c}{i}": x for i, x in enumerate(prior)})
-        prior = [F.col(f"q{c}{i}") for i in range(n)]
-
-    chance = {}
-    for i, k in enumerate(languages):
-        declared_as = F.lit(0.0)
-        for d in languages:
-            declared_as = F.when(F.col("declared") == d, F.lit(float(np.log(said[d][i])))).otherwise(declared_as)
-        chance[k] = TEMPER * F.col(names[i]) + declared_as + F.log((1 - UNKNOWN_PRIOR) * F.greatest(prior[i], F.lit(1e-9)))
-    no_reason = F.when(F.col("declared").isNotNull(), F.lit(float(-np.log(n)))).otherwise(0.0)
-    chance[UNKNOWN] = TEMPER * F.col(names[-1]) + no_reason + float(np.log(UNKNOWN_PRIOR))
-    fused = _softmax(chance)
-    best = F.array_max(F.array(*[F.struct(fused[k].alias("p"), F.lit(k).alias("k")) for k in kinds]))
-    by_text_best = F.array_max(F.array(*[F.struct(F.col(s).alias("p"), F.lit(k).alias("k")) for s, k in zip(names, kinds, strict=True)]))
-    judged = met.select("doc_id", "letters", best.alias("best"), by_text_best.alias("alone"))
-    read = F.col("letters") > 0
-    language = F.when(read, F.col("best.k")).otherwise(UNKNOWN)
-    return judged.select(
-        "doc_id",
-        language.alias("language"),
-        F.when(read, F.col("best.p")).otherwise(1.0).alias("confidence"),
-        (read & (F.col("best.k") != UNKNOWN) & (F.col("best.p") >= accept)).alias("accepted"),
-        F.when(read, F.col("alone.k")).otherwise(UNKNOWN).alias("text_language"),
-        F.col("letters").cast("bigint").alias("letters"),
-    )
+    out = f"doc_id {id_type}, language string, confidence double, accepted boolean, text_language string, letters bigint"
+    return met.drop("host").mapInArrow(_fuse(said, overall / overall.sum(), languages, accept), out)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
