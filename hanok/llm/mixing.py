@@ -16,8 +16,9 @@ columns play no part. An empty table, or one without words, gives targets of 0.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanok.llm.tables import WORD, staged
@@ -27,6 +28,8 @@ from hanok.session import cut
 HASH_BITS, LEVEL_BITS, ROUNDS = 60, 12, 5
 TOP = 1 << HASH_BITS
 WEIGHTS, EPOCHS, CAP = (5, 2, 1), 1.5, 2
+#: Keys of one source, and sources up to which the plan is broadcast.
+SALTS, MOST_SOURCES = 64, 100_000
 
 
 def position(doc_id):
@@ -34,10 +37,10 @@ def position(doc_id):
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("bigint")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): words are counted in the whole text."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size, h) and ``more`` columns: words are counted in the whole text."""
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("bigint")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), position(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), words.alias("size"), position(F.col("doc_id")).alias("h"), *more)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, cap: float = CAP) -> DataFrame:
@@ -68,7 +71,16 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     return ranked.select("source", "rank", "source_size", F.least(most, F.lit(level) * F.col("weight")).alias("target"))
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
+def _meet(rows: DataFrame, state: DataFrame, few: bool) -> DataFrame:
+    """``rows`` with their source's ``state``. ``few`` sources are broadcast; of more, each is spread over ``SALTS`` keys, so
+    that a large one is many tasks' work."""
+    if few:
+        return rows.join(F.broadcast(state), "rank")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return rows.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(state.select("*", salts), ["rank", "salt"]).drop("salt")
+
+
+def _threshold(rows: DataFrame, budgets: DataFrame, few: bool) -> DataFrame:
     """(rank, below): per source the largest hash bound such that the sizes of ``rows(rank, h, size)`` under it fit ``budget``.
 
     ``low`` is the first hash of the bucket still open, ``used`` the sum below it.
@@ -79,7 +91,7 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     while left > 0:
         width = min(LEVEL_BITS, left)
         left -= width
-        inside = rows.join(state, "rank").filter((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(1 << (left + width))))
+        inside = _meet(rows, state, few).filter((F.col("h") >= F.col("low")) & (F.col("h") - F.col("low") < F.lit(1 << (left + width))))
         bucket = F.shiftright(F.col("h") - F.col("low"), left)
         sums = inside.groupBy("rank", "budget", "low", "used", bucket.alias("bucket")).agg(
             F.sum("size").alias("words"), F.min("h").alias("first"), F.max("h").alias("last")
@@ -106,33 +118,64 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return budgets.select("rank").join(closed, "rank", "left").select("rank", F.coalesce("below", F.lit(TOP)).alias("below"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, cap: float = CAP, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies), one row per row of ``docs(doc_id, source, text)``."""
-    sizes = staged(sized(docs), "sizes")
+@dataclass(frozen=True)
+class Plan:
+    """One row per source (source, source_size, target, whole, and per round the largest size that fits and the bound of
+    the hashes taken), and what a document's copies are in terms of it."""
+
+    rows: DataFrame
+    copies: Column
+    few: bool  # counted: at most MOST_SOURCES rows
+
+    def join(self, docs: DataFrame) -> DataFrame:
+        """``docs`` (with source, size, h) and the columns of their source, broadcast or spread over salts as in ``_meet``."""
+        plan = self.rows.withColumnRenamed("source", "_mx_source")
+        same = docs["source"].eqNullSafe(F.col("_mx_source"))
+        if self.few:
+            return docs.join(F.broadcast(plan), same).drop("_mx_source")
+        salted = plan.withColumn("_mx_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return docs.join(salted, same & (F.pmod(docs["h"], F.lit(SALTS)) == F.col("_mx_salt"))).drop("_mx_source", "_mx_salt")
+
+
+def plan(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, cap: float = CAP, rounds: int = ROUNDS) -> Plan:
+    """The plan for ``sizes(source, size, h)``, which should be staged: every round reads it."""
     goal = targets(sizes, weights, epochs, cap)
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
     goal = cut(goal.withColumn("whole", whole.cast("bigint")).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size")))
-    rows = sizes.join(goal.select("source", "rank"), sizes["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    rows = staged(rows.filter("size > 0").select("rank", "h", "size"), "ranked")
+    few = goal.limit(MOST_SOURCES + 1).count() <= MOST_SOURCES
+    rows = staged(Plan(goal.select("source", "rank"), F.lit(0), few).join(sizes).filter("size > 0").select("rank", "h", "size"), "ranked")
     chosen = F.lit(False)
     budgets = goal.select("rank", "budget")
     limits = budgets.select("rank")
     for k in range(rounds):
         limits = limits.join(budgets.select("rank", F.col("budget").alias(f"fit{k}")), "rank")
-        fits = rows.join(limits, "rank").filter(~chosen & (F.col("size") <= F.col(f"fit{k}"))).select("rank", "h", "size")
+        fits = _meet(rows, limits, few).filter(~chosen & (F.col("size") <= F.col(f"fit{k}"))).select("rank", "h", "size")
         if k and fits.isEmpty():
             limits = limits.drop(f"fit{k}")
             break
-        below = _threshold(fits, budgets)
+        below = _threshold(fits, budgets, few)
         limits = cut(limits.join(below.withColumnRenamed("below", f"below{k}"), "rank"))
         now = (F.col("size") <= F.col(f"fit{k}")) & (F.col("h") < F.col(f"below{k}"))
-        spent = fits.join(limits, "rank").filter(now).groupBy("rank").agg(F.sum("size").alias("spent"))
+        spent = _meet(fits, limits, few).filter(now).groupBy("rank").agg(F.sum("size").alias("spent"))
         budgets = cut(budgets.join(spent, "rank", "left").select("rank", (F.col("budget") - F.coalesce("spent", F.lit(0))).alias("budget")))
         chosen = chosen | now
-    plan = goal.join(limits, "rank").withColumnRenamed("source", "_source")
-    copies = F.col("whole") + F.when((F.col("size") > 0) & chosen, 1).otherwise(0)
-    return (
-        sizes.join(plan, sizes["source"].eqNullSafe(plan["_source"]))
-        .withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("bigint"))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-    )
+    copies = F.when(F.col("size") > 0, F.col("whole") + F.when(chosen, 1).otherwise(0)).otherwise(0).cast("bigint")
+    return Plan(cut(goal.join(limits, "rank").drop("rank", "budget")), copies, few)
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, copies), one row per row of ``docs(doc_id, source, text)``."""
+    sizes = staged(sized(docs), "sizes")
+    found = plan(sizes, **how)
+    rows = found.join(sizes).withColumn("copies", found.copies)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` that the mix takes, with all their columns, ``taken`` words and ``copies`` (replacing columns of
+    these names): a document is to be read ``copies`` times."""
+    found = plan(staged(sized(docs), "sizes"), **how)
+    whole = docs.select(F.struct(*docs.columns).alias("_mx_row"), *[F.col(c) for c in ("doc_id", "source", "text")])
+    rows = found.join(sized(whole, "_mx_row")).withColumn("copies", found.copies).filter("copies > 0")
+    kept = [F.col(f"_mx_row.`{c}`").alias(c) for c in docs.columns if c not in ("taken", "copies")]
+    return rows.select(*kept, (F.col("copies") * F.col("size")).alias("taken"), "copies")
