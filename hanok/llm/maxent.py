@@ -237,7 +237,8 @@ def score(docs: DataFrame) -> DataFrame:
         if r["v"] > room_left:
             break
         power, room_left = r["power"], room_left - r["v"]
-    frequent = counts.filter(F.floor(F.log2("n")) >= power).select("token", "n").toPandas()
+    single = [*top_words, int(np.array([END]).view(np.int64)[0])]  # tokens that are classes of their own are always at hand
+    frequent = counts.filter((F.floor(F.log2("n")) >= power) | F.col("token").isin(single)).select("token", "n").toPandas()
     known = frequent["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(known)
     weights = train(training, top)
