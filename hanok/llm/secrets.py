@@ -45,7 +45,7 @@ SIGN = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}"
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 TABLE, FIT_DOCS, FIT_WINDOW, EPOCHS, RATE, DECAY = 1 << 14, 400, 96, 40, 0.3, 1e-3
-BLOCK, SPREAD = 1 << 22, 1 << 30
+BLOCK, SPREAD, NAMED = 1 << 22, 1 << 30, 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -97,7 +97,7 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.nd
     shape = (shape * 2 + mark).astype(np.uint64)
     rough = ((((np.minimum(long, 4) * 5 + share) * 2 + (upper > 0)) * 2 + (small > 0)) * 2 + (hexes == size)) * 2 + mark
     rough = rough.astype(np.uint64)
-    own = span_hashes(LOWERED[data], starts, ends)
+    own = np.where(size <= NAMED, span_hashes(LOWERED[data], starts, ends), 0)  # longer tokens recur too rarely to be learnt
 
     def moved(x: np.ndarray, k: int) -> np.ndarray:
         """The value k tokens before (after, if negative) in the same text, else 0."""
