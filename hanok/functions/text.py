@@ -96,9 +96,31 @@ def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+# Conjoining jamo and how syllables are numbered from them.
+JAMO = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
+FIRST_SYLLABLE, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
+
+
+def composed(c) -> Column:
+    """Hangul syllables in place of their conjoining jamo; only texts that hold such jamo pay for it."""
+
+    def syllable(jamo):
+        def place(i, base):
+            return F.ascii(F.substr(jamo, F.lit(i), F.lit(1))) - base
+
+        tail = F.when(F.length(jamo) > 2, place(3, TAILS)).otherwise(0)
+        code = (place(1, LEADS) * 21 + place(2, VOWELS)) * 28 + tail + FIRST_SYLLABLE
+        return F.decode(F.unhex(F.hex(code)), "UTF-16BE")
+
+    s = col(c)
+    # the longest spellings first, so that a syllable without a tail does not eat the head of one with it
+    found = F.array_sort(F.array_distinct(F.regexp_extract_all(s, F.lit(JAMO), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
+    return F.when(s.rlike(JAMO), F.aggregate(found, s, lambda acc, jamo: F.replace(acc, jamo, syllable(jamo)))).otherwise(s)
+
+
 def norm(c, exact: bool = False) -> Column:
     """Letters and digits of a name, lower case, without the word for apartment."""
-    s = nfkc(col(c)) if exact else compat(c)
+    s = nfkc(col(c)) if exact else compat(composed(c))
     s = F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit(fv.APARTMENT), F.lit(""))
     return F.regexp_replace(s, f"[^{KEPT}]+", "")
 
@@ -112,7 +134,7 @@ def norm_name(c) -> Column:
     def both(raw):
         return F.coalesce(F.nullif(strip(F.regexp_replace(raw, r"\([^)]*\)", "")), F.lit("")), strip(raw))
 
-    return let(F.lower(F.coalesce(compat(c), F.lit(""))), both)
+    return let(F.lower(F.coalesce(compat(composed(c)), F.lit(""))), both)
 
 
 def station_name(c) -> Column:

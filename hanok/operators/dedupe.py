@@ -60,7 +60,8 @@ def rekey_trades(trades: DataFrame, renamed: DataFrame, columns: Sequence[str])
 
 
 def trade_only_complexes(unmatched: DataFrame) -> DataFrame:
-    """One complex per (region, normalised name) of unmatched trades; the id is the smallest trade sequence.
+    """One complex per (region, normalised name) of unmatched trades; the id is the smallest trade sequence, or made of
+    region and name where no trade has one.
 
     The first trade by (date, sequence) gives the descriptive fields. Trades are matched against the input catalogue
     only, so the outcome does not depend on the order in which trades arrive.
@@ -70,12 +71,12 @@ def trade_only_complexes(unmatched: DataFrame) -> DataFrame:
         unmatched.withColumn("_n", norm_name("name"))
         .groupBy("region", F.col("_n").alias("match_name"))
         .agg(
-            F.min("apt_seq").alias("complex_id"),
+            F.min(F.nullif("apt_seq", F.lit(""))).alias("complex_id"),
             F.min_by(F.struct("name", "build_year", "legal_dong", "jibun"), first).alias("f"),
             F.count("*").alias("trades"),
         )
         .select(
-            "complex_id", "region", "match_name", "f.name", "f.build_year", "f.legal_dong",
+            F.coalesce("complex_id", F.concat_ws("-", "region", F.lit("trade"), "match_name")).alias("complex_id"), "region", "match_name", "f.name", "f.build_year", "f.legal_dong",
             F.concat_ws(" ", "region", F.nullif(F.col("f.legal_dong"), F.lit("")), F.nullif(F.col("f.jibun"), F.lit(""))).alias("address"),
             F.concat(F.col("f.build_year").cast("string"), F.lit(".01")).alias("completed"), "trades",
         )

@@ -179,9 +179,12 @@ def national_catalogue(rows: DataFrame, cities: Sequence[str], province: str = "
 
 
 def apply_transport(complexes: DataFrame, links: DataFrame, walks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Put the nearest walk on each complex. Returns the catalogue and the violations that forbid publishing it."""
+    """Put the nearest walk on each complex, in place of an earlier one. Returns the catalogue and the violations that
+    forbid publishing it."""
     from hanok.operators import guards
 
+    complexes = complexes.drop("station_status", "station", "station_display", "station_walk_minutes", "station_distance_km", "station_count")
+
     head = walks.groupBy("complex_id").agg(
         F.min_by(F.struct("station", "lines", "minutes", "distance_m"), F.struct("distance_m", "station")).alias("w"),
         F.count("*").alias("station_count"),

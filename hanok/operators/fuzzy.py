@@ -63,8 +63,11 @@ def similar_names(trade_names: DataFrame, catalogue_names: DataFrame, least: flo
     pairs = a.join(b, ["region", "token"]).select("region", "trade_name", "name").distinct()
     la, lb = F.length("trade_name"), F.length("name")
     pairs = pairs.filter((F.col("trade_name") != F.col("name")) & (2.0 * F.least(la, lb) >= least * (la + lb) - 1e-9))
+    # matching blocks hold no more characters than the names have in common
+    common = F.size(F.array_intersect(_tokens("trade_name"), _tokens("name")))
+    pairs = pairs.filter(2.0 * common >= least * (la + lb) - 1e-9)
     inside = F.contains("trade_name", F.col("name")) | F.contains("name", F.col("trade_name"))
-    scored = pairs.withColumn("inside", inside).withColumn("ratio", seq_ratio("trade_name", "name"))
+    scored = pairs.withColumn("inside", inside).withColumn("ratio", seq_ratio("name", "trade_name"))  # not symmetric
     base = F.when(F.col("inside"), CONTAINED).otherwise(F.col("ratio"))
     return scored.withColumn("base", base).filter(F.col("base") >= least).select("region", "trade_name", "name", "base")
 

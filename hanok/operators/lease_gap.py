@@ -16,14 +16,16 @@ def middle_floor_sales(sales: DataFrame, complexes: DataFrame, lowest: int = 4)
 
 
 def widened_type(sales: DataFrame, kind: int = 59) -> DataFrame:
-    """Trades of a type per complex: the narrow band, or the 45 to 75 band where the narrow one is empty."""
+    """Trades of a type per complex: the narrow band or, where that is empty, the one area of the 45 to 75 band that is
+    nearest to 59 (the smaller of two)."""
     low, high = {59: (57.0, 61.5), 84: (82.0, 86.5)}[kind]
     narrow = F.col("area").between(low, high)
     if kind != 59:
         return sales.filter(narrow).withColumn("substitute", F.lit(False))
     wide = sales.filter((F.col("area") >= 45) & (F.col("area") < 75))
-    has = wide.groupBy("complex_id").agg(F.max(narrow).alias("_has"))
-    return wide.join(has, "complex_id").filter(narrow | ~F.col("_has")).withColumn("substitute", ~F.col("_has")).drop("_has")
+    has = wide.groupBy("complex_id").agg(F.max(narrow).alias("_has"), F.min(F.struct(F.abs(F.col("area") - 59), "area"))["area"].alias("_nearest"))
+    chosen = narrow | (~F.col("_has") & (F.col("area") == F.col("_nearest")))
+    return wide.join(has, "complex_id").filter(chosen).withColumn("substitute", ~F.col("_has")).drop("_has", "_nearest")
 
 
 def lease_reference(

@@ -89,8 +89,9 @@ def resolve(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: st
     ``mode="lease"`` uses name and official name only, and the parcel must be in the binding list; for sales, aliases
     and the catalogue's own parcel count too. Every lookup has one row per key, so rows are neither lost nor doubled.
     """
-    strict = binding_map(bindings, complexes)
-    known = strict.select("complex_id", "parcel")
+    listed = binding_map(bindings, complexes)
+    strict = listed.groupBy(*KEY).agg(F.min("complex_id").alias("complex_id"))  # the guard reports keys of several complexes
+    known = listed.select("complex_id", "parcel")
     if mode == "sale":
         own = complexes.select("complex_id", clean("metadata_jibun").alias("parcel")).filter("parcel <> ''")
         known = known.unionByName(own)

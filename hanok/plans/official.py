@@ -40,7 +40,7 @@ def collect_sales(
     rows = ln.sale_rows(raw, districts)
     linked = ln.linked_sales(rows, bindings, catalogue, effective, end)
     saved = linked.filter("outcome = 'saved'").select(
-        "complex_id", "date", "ym", "area", "floor", "price", F.col("legal_dong").alias("dong"), "parcel"
+        "complex_id", "date", "ym", "area", "floor", "price", "legal_dong", "parcel"
     )
     counted = rows.filter(F.col("excluded").isNull() & F.col("ym").between(effective, end))
     problems = [
@@ -52,6 +52,8 @@ def collect_sales(
     ]
     sales = saved
     if stored is not None:
+        # complexes that left the catalogue, and those of other providers, neither collapse nor stay
+        stored = stored.join(catalogue.select("complex_id"), "complex_id", "left_semi")
         problems.append(guards.collapsed(stored, saved, "complex_id", effective, end))
         sales = inc.freeze_history(stored, saved, start, effective)
     complexes = ln.data_status(catalogue, linked)
@@ -85,5 +87,6 @@ def enrich(
         guards.ratio_status(rated),
     ]
     if prior is not None:
-        problems.append(guards.collapsed(prior["leases"], leases, "complex_id", start, end, guard="leases_collapsed"))
+        before = prior["leases"].join(complexes.select("complex_id"), "complex_id", "left_semi")
+        problems.append(guards.collapsed(before, leases, "complex_id", start, end, guard="leases_collapsed"))
     return Outcome({"complexes": ln.lease_status(rated, leases), "leases": leases}, {"lease_months": month_counts(rows.filter("excluded is null"), "region")}, problems)

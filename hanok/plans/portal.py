@@ -37,6 +37,8 @@ def collect(
         ]
     out_sales, out_leases = sales, leases
     if stored is not None:
+        own = catalogue.select("complex_id")  # complexes that left it, and other providers', neither collapse nor stay
+        stored = stored | {name: stored[name].join(own, "complex_id", "left_semi") for name in ("sales", "leases")}
         first = start if preserve else "0000-00"
         last = end if preserve else "9999-99"
         problems += [

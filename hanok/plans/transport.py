@@ -61,7 +61,7 @@ def link_stations(complexes: DataFrame, official_points: DataFrame, nodes: DataF
         F.col("source").alias("complex_id"), F.concat("name", F.lit("역")).alias("station"), "lines", "distance_m", "minutes", "endpoint"
     )
     # stations of one name count once per complex, by the shortest walk
-    nearest = cut(named.groupBy("complex_id", "station").agg(F.min_by(F.struct("lines", "distance_m", "minutes", "endpoint"), "distance_m").alias("w")).select("complex_id", "station", "w.*"))
+    nearest = cut(named.groupBy("complex_id", "station").agg(F.min_by(F.struct("lines", "distance_m", "minutes", "endpoint"), F.struct("distance_m", "endpoint")).alias("w")).select("complex_id", "station", "w.*"))
     links = st.link_status(located, snapped, nearest)
     out, problems = apply_transport(complexes.drop("station", "station_display"), links, nearest)
     problems = [problems]

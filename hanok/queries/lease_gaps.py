@@ -46,8 +46,8 @@ def middle_floor_sales(star):
 
 
 @query("substitute_types", "E9 F8", f"""WITH {SALE}, {COMPLEX}, t AS (SELECT complex_id, CASE WHEN far > 500 AND area < 70 THEN area + 10 ELSE area END AS area FROM sale JOIN complex USING (complex_id)),
-h AS (SELECT complex_id, bool_or(area BETWEEN 57 AND 61.5) AS narrow FROM t WHERE area >= 45 AND area < 75 GROUP BY 1)
-SELECT complex_id, area, CAST(NOT narrow AS INT) AS substitute, count(*) AS n FROM t JOIN h USING (complex_id) WHERE area >= 45 AND area < 75 AND (area BETWEEN 57 AND 61.5 OR NOT narrow) GROUP BY 1, 2, 3""")
+h AS (SELECT complex_id, bool_or(area BETWEEN 57 AND 61.5) AS narrow, arg_min(area, abs(area - 59) * 1000000 + area) AS nearest FROM t WHERE area >= 45 AND area < 75 GROUP BY 1)
+SELECT complex_id, area, CAST(NOT narrow AS INT) AS substitute, count(*) AS n FROM t JOIN h USING (complex_id) WHERE area >= 45 AND area < 75 AND (area BETWEEN 57 AND 61.5 OR NOT narrow AND area = nearest) GROUP BY 1, 2, 3""")
 def substitute_types(star):
     # complexes with a high ratio get larger flats, so that the wider band has work to do
     t = star.sales.join(star.complexes.select("complex_id", "far"), "complex_id")

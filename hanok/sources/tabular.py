@@ -39,13 +39,14 @@ def read_archive(spark: SparkSession, path: str, district: str, fields: Mapping[
     Files are split by bytes, which is safe in both encodings; only the wanted columns of the wanted district are
     decoded.
     """
-    raw = spark.read.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    quoted = spark.read.option("header", True).option("quote", '"').option("escape", '"')  # a doubled quote is a quote
+    raw = quoted.option("encoding", "ISO-8859-1").csv(path)
     encoding, names = _header_encoding(raw.columns)
     absent = [f for f in fields if f not in names]
     if absent:
         raise SourceError(f"archive lacks columns {absent}")
     if encoding == "utf-8":
-        raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+        raw = quoted.option("encoding", "UTF-8").csv(path)
     raw = raw.toDF(*names)
     kept = raw.select(*[F.col(f"`{k}`").alias(v) for k, v in fields.items()]).filter(clean("cgg_cd") == district)
     if encoding == "cp949":

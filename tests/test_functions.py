@@ -160,3 +160,12 @@ def test_region_tags(frame):
     rows = [("성남시", "성남분당구", "정자동"), ("화성시", "화성동탄구", "반송동"), ("안양시", "안양동안구", "평촌동"), ("안양시", "안양동안구", "호계동")]
     df = frame([{"r": a, "d": b, "l": c} for a, b, c in rows])
     assert values(df, pl.region_tags("r", "d", "l")) == [["성남시", "분당구"], ["화성시", "동탄구", "동탄시"], ["안양시", "동안구", "평촌동"], ["안양시", "동안구"]]
+
+
+def test_decomposed_hangul_is_composed(spark):
+    import unicodedata
+
+    names = ["한솔마을", "각가간", "A한 빛Ⅱ", "값진", "ᄀ", "힣힐"]
+    rows = spark.createDataFrame([(n, unicodedata.normalize("NFD", n)) for n in names], "nfc string, nfd string")
+    for r in rows.select("nfc", tx.composed("nfd").alias("c"), tx.norm("nfc").alias("a"), tx.norm("nfd").alias("b"), tx.norm_name("nfc").alias("x"), tx.norm_name("nfd").alias("y")).collect():
+        assert r.c == r.nfc and r.a == r.b and r.x == r.y

@@ -14,7 +14,7 @@ from hanok.plans import transport
 
 def plain_score(c, t):
     a, b = c["name"], t["raw_name"]
-    base = 1.0 if a == b else 0.92 if a in b or b in a else SequenceMatcher(None, b, a).ratio()
+    base = 1.0 if a == b else 0.92 if a in b or b in a else SequenceMatcher(None, a, b).ratio()
     diff = abs(c["build_year"] - t["build_year"])
     base += 0.05 if diff == 0 else 0.02 if diff <= 2 else -0.12 if diff >= 7 else 0
     x, y = t["legal_dong"], c["legal_dong"]
@@ -51,6 +51,15 @@ def test_best_match_equals_brute_force(spark):
     assert sum(v is not None for v in want.values()) > 100 and sum(v is None for v in want.values()) > 30
 
 
+def test_ratio_is_taken_from_the_catalogue_name(spark):
+    # the ratio is not symmetric: 0.6 from the catalogue's side, 0.8 from the trade's
+    one, two = "나다바바바", "나바바다바"
+    assert SequenceMatcher(None, one, two).ratio() < 0.7 < SequenceMatcher(None, two, one).ratio()
+    keys = spark.createDataFrame([("x", two, 2000, "가동"), ("y", one, 2000, "가동")], "region string, raw_name string, build_year int, legal_dong string")
+    catalogue = spark.createDataFrame([(1, "x", one, 2000, "가동", 0), (2, "y", two, 2000, "가동", 0)], "complex_id int, region string, name string, build_year int, legal_dong string, ord int")
+    assert {r.region: r.complex_id for r in fuzzy.best_match(keys, catalogue).collect()} == {"x": None, "y": 2}
+
+
 def street_grid(n=8, step=100.0):
     nodes = {(i, j): (i * n + j, i * step, j * step * 1.1) for i in range(n) for j in range(n)}
     ways = []

@@ -93,7 +93,7 @@ def test_short_response_and_bad_values_stop(world):
 def test_older_history_is_frozen(world, spark, frame):
     old = spark.createDataFrame(
         [("A1", dt.date(2025, 1, 10), "2025-01", 59.9, 5, 90000, "당산동", "1"), ("A1", dt.date(2024, 1, 10), "2024-01", 59.9, 5, 90000, "당산동", "1")],
-        "complex_id string, date date, ym string, area double, floor int, price bigint, dong string, parcel string",
+        "complex_id string, date date, ym string, area double, floor int, price bigint, legal_dong string, parcel string",
     )
     rows = [dict(SALE, ctrt_day=f"2026{m:02}10") for m in range(1, 10) for _ in range(100)]
     start = ln.effective_start(ln.sale_rows(frame(copies(1)), world.districts), "2025-01").first()
