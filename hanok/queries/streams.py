@@ -16,18 +16,23 @@ def _stream(star, name):
 
 @query("streamed_months", "T1 D5", """SELECT strftime(l_shipdate, '%Y-%m') AS ym, count(*) AS n, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS total FROM lineitem GROUP BY 1""")
 def streamed_months(star):
-    path = scratch_path(star.spark, "stream-months")
-    columns = ["complex_id", "price", "ym"]
-    # the stored table already holds other rows for every month; the responses that arrive replace them
-    old = star.table("orders").select(F.col("o_custkey").alias("complex_id"), F.floor("o_totalprice").cast("bigint").alias("price"), ym_of_date("o_orderdate").alias("ym"))
+    path, arrived = scratch_path(star.spark, "stream-months"), scratch_path(star.spark, "stream-responses")
+    # the stored table already holds rows of an earlier run for every month; the responses of the new run replace them
+    old = star.table("orders").select(F.col("o_custkey").alias("complex_id"), F.floor("o_totalprice").cast("bigint").alias("price"), F.lit("1").alias("run"), F.lit("").alias("response"), ym_of_date("o_orderdate").alias("ym"))
     old.repartition("ym").write.partitionBy("ym").parquet(path)
+    # six responses, two to a batch: every month is spread over all batches
+    star.table("lineitem").repartition(6, "l_orderkey").write.parquet(arrived)
+    stream = star.spark.readStream.schema(star.table("lineitem").schema).option("maxFilesPerTrigger", 2).parquet(arrived)
 
     def prepare(batch):
-        day = F.col("l_shipdate")
-        return batch.select(F.col("l_suppkey").alias("complex_id"), F.floor("l_extendedprice").cast("bigint").alias("price"), ym_of_date(day).alias("ym")).select(*columns).repartition("ym")
-
-    tr.replace_months(_stream(star, "lineitem"), path, scratch_path(star.spark, "cp"), prepare).awaitTermination()
-    stored = star.spark.read.schema("complex_id bigint, price bigint, ym string").parquet(path)
+        return batch.select(
+            F.col("l_suppkey").alias("complex_id"), F.floor("l_extendedprice").cast("bigint").alias("price"),
+            F.lit("2").alias("run"), "response", ym_of_date("l_shipdate").alias("ym"),
+        )
+
+    named = stream.select("*", F.col("_metadata.file_name").alias("response"))
+    tr.replace_months(named, path, scratch_path(star.spark, "cp"), prepare).awaitTermination()
+    stored = star.spark.read.schema("complex_id bigint, price bigint, run string, response string, ym string").parquet(path)
     return stored.groupBy("ym").agg(F.count("*").alias("n"), F.sum("price").alias("total"))
 
 

@@ -9,16 +9,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from hanok.operators.incremental import overwrite_months
+from hanok.session import cut
+
+
+def merge_responses(fresh: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows of the months of ``fresh``: those of each month's latest ``run``, a repeated ``response`` counting as it is in
+    ``fresh``. Both have ``ym``, ``run`` and ``response``; a row without a run is older than any."""
+    again = fresh.select("ym", "run", "response").distinct()
+    months = fresh.select("ym").distinct()
+    kept = stored.join(months, "ym", "left_semi").join(again, ["ym", "run", "response"], "left_anti")
+    both = kept.unionByName(fresh).withColumn("_run", F.coalesce("run", F.lit("")))
+    newest = both.groupBy("ym").agg(F.max("_run").alias("_run"))
+    return both.join(newest, ["ym", "_run"], "left_semi").drop("_run").select(*fresh.columns)
 
 
 def replace_months(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
-    """Each arriving response holds whole months: they replace the stored ones, other months stay.
+    """Responses of a collection run replace the months stored by earlier runs; other months stay.
 
-    Repeating a batch after a failure writes the same partitions again, so nothing is doubled.
+    The responses of a run may arrive in any number of batches: a month grows until all of them are there, and an earlier
+    run's rows that arrive late change nothing. ``prepare`` gives rows with ``ym``, ``run`` and ``response``; without the
+    two, every batch has to hold whole months. Repeating a batch after a failure writes the same partitions again, so
+    nothing is lost or doubled.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        overwrite_months(prepare(batch), path)
+        fresh = prepare(batch)
+        if not {"run", "response"} <= set(fresh.columns):
+            overwrite_months(fresh, path)
+            return
+        stored = fresh.sparkSession.read.schema(fresh.schema).parquet(path)
+        # written to the shared folder first: the months that are replaced are also read
+        overwrite_months(cut(merge_responses(fresh, stored)).repartition("ym"), path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -199,3 +199,22 @@ def test_streamed_months_replace_only_what_arrives(spark, tmp_path):
     spark.createDataFrame([(3, "2026-09"), (4, "2026-10")], schema).write.parquet(source)
     tr.replace_months(spark.readStream.schema(schema).parquet(source), stored, str(tmp_path / "cp")).awaitTermination()
     assert {(r.price, r.ym) for r in spark.read.schema(schema).parquet(stored).collect()} == {(1, "2026-08"), (3, "2026-09"), (4, "2026-10")}
+
+
+def test_a_month_may_come_in_several_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "price int, run string, response string, ym string"
+    spark.createDataFrame([(7, None, None, "2025-01"), (8, None, None, "2025-02")], schema).write.partitionBy("ym").parquet(out)
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        tr.replace_months(stream, out, str(tmp_path / "cp")).awaitTermination()
+        return sorted((r.ym, r.price) for r in spark.read.schema(schema).parquet(out).collect())
+
+    other = ("2025-02", 8)
+    assert arrive((1, "b", "p1", "2025-01")) == [("2025-01", 1), other]
+    assert arrive((2, "b", "p2", "2025-01")) == [("2025-01", 1), ("2025-01", 2), other]  # the same run goes on
+    assert arrive((3, "b", "p1", "2025-01")) == [("2025-01", 2), ("2025-01", 3), other]  # a response sent again
+    assert arrive((9, "a", "p1", "2025-01")) == [("2025-01", 2), ("2025-01", 3), other]  # an earlier run, late
+    assert arrive((4, "c", "p1", "2025-01"), (5, "c", "p1", "2025-03")) == [("2025-01", 4), other, ("2025-03", 5)]
