@@ -11,7 +11,6 @@ from hanok.functions.parcels import pnu_identity
 from hanok.functions.text import canonical_name, clean, name_key, norm
 from hanok.functions.values import disclosed_date, number
 from hanok.operators import guards
-from hanok.operators.sizes import lookup
 from hanok.session import cut
 
 GRAM = 4  # a contained name counts from this length on
@@ -46,7 +45,7 @@ def identified(rows: DataFrame) -> DataFrame:
         *RAW_SITE, "legal_dong", norm(F.coalesce("legal_dong", F.lit(""))).alias("dong"), pnu_identity("PNU", "MVIN_YM").alias("i"),
         F.trim("KAB_APTNM").alias("building"), norm("KAB_APTNM").alias("trade_name"),
     )
-    return texts.join(lookup(sites), RAW_SITE)
+    return texts.join(sites, RAW_SITE)
 
 
 def contracts(rows: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def linked_contracts(contract_rows: DataFrame, complexes: DataFrame, start: str,
     """Contracts of the period with their complex and ``outcome``. A cancelled sale leaves the lease of its row alone."""
     counted = contract_rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
     # keys are taken from all rows: that pass reads the key columns only
-    found = counted.join(lookup(resolve(contract_rows.select(*KEY).distinct(), complexes)), KEY, "left")
+    found = counted.join(resolve(contract_rows.select(*KEY).distinct(), complexes), KEY, "left")
     outcome = (
         F.when(F.col("complex_id").isNull(), "unmatched")
         .when(F.col("cancelled"), "cancelled_sale")

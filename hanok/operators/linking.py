@@ -1,8 +1,7 @@
 """Linking official sales and leases to complexes by strict keys.
 
-Trades meet the catalogue through lookups with one row per key. Counted and small, these are broadcast and the trades
-are read once, whatever the distribution of their keys; otherwise the distinct keys of the trades are matched and the
-outcome is joined back by one equi-join, which adaptive execution splits at hot keys.
+The distinct keys of the trades meet the catalogue through lookups with one row per key, and the outcome is joined back
+by one equi-join, which adaptive execution broadcasts where it is small and splits at hot keys where not.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from hanok.functions.parcels import parcel
 from hanok.functions.text import clean, norm
 from hanok.functions.values import compact_date, integer, number
 from hanok.operators import guards
-from hanok.operators.sizes import MAX_ROWS, lookup
 
 KEY = ["region", "legal_dong", "parcel", "trade_name", "build_year"]
 
@@ -83,7 +81,7 @@ def name_index(complexes: DataFrame, aliases: bool = True) -> DataFrame:
     )
 
 
-def resolve(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale", max_lookup: int = MAX_ROWS) -> DataFrame:
+def resolve(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale") -> DataFrame:
     """Add ``complex_id`` and ``method``: the binding list first, then one exact name whose parcel is known.
 
     ``mode="lease"`` uses name and official name only, and the parcel must be in the binding list; for sales, aliases
@@ -98,25 +96,23 @@ def resolve(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: st
     known = known.distinct().withColumn("_known", F.lit(True)).withColumnRenamed("complex_id", "_named")
     by_name = name_index(complexes, aliases=mode == "sale").withColumnRenamed("complex_id", "_named")
     found = (
-        rows.join(lookup(strict.withColumnRenamed("complex_id", "_bound"), max_lookup), KEY, "left")
-        .join(lookup(by_name, max_lookup), ["region", "legal_dong", "build_year", "trade_name"], "left")
-        .join(lookup(known, max_lookup), ["_named", "parcel"], "left")
+        rows.join(strict.withColumnRenamed("complex_id", "_bound"), KEY, "left")
+        .join(by_name, ["region", "legal_dong", "build_year", "trade_name"], "left")
+        .join(known, ["_named", "parcel"], "left")
     )
     chosen = F.coalesce("_bound", F.when(F.col("_known"), F.col("_named")))
     method = F.when(F.col("_bound").isNotNull(), "binding").when(F.col("_known"), "exact_name")
     return found.select(*rows.columns, chosen.alias("complex_id"), method.alias("method"))
 
 
-def link(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale", max_lookup: int = MAX_ROWS) -> DataFrame:
+def link(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str = "sale") -> DataFrame:
     """Add ``complex_id`` and ``method`` to rows that carry the key columns.
 
-    With counted, broadcast lookups the rows are matched in one pass and never shuffled. Where a lookup is too large
-    for that, the distinct keys are matched instead and joined back once.
+    The distinct keys are matched and joined back once, whatever the sizes: the number of buildings decides the cost of the
+    lookups, and adaptive execution broadcasts the matched keys where they are small and splits hot keys where not.
     """
-    if complexes.limit(max_lookup + 1).count() <= max_lookup and bindings.limit(max_lookup + 1).count() <= max_lookup:
-        return resolve(rows, bindings, complexes, mode, max_lookup * 8)
     keys = rows.select(*KEY).distinct()
-    return rows.join(resolve(keys, bindings, complexes, mode, max_lookup), KEY, "left")
+    return rows.join(resolve(keys, bindings, complexes, mode), KEY, "left")
 
 
 def linked_sales(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:

@@ -115,10 +115,10 @@ def test_same_key_in_three_districts_never_merges(spark, frame):
         off.collect_sales(catalog, frame(rows[:200]), bindings, districts, "2026-09", "2026-09").enforce()
 
 
-def test_key_path_equals_broadcast_path(spark, frame, world):
+def test_matching_keys_equals_matching_rows(spark, frame, world):
     rows = ln.sale_rows(frame(copies(30) + copies(5, bldg_nm="다른") + copies(5, mno="2")), world.districts)
     small = ln.link(rows, world.bindings, world.catalog)
-    large = ln.link(rows, world.bindings, world.catalog, max_lookup=0)
+    large = ln.resolve(rows, world.bindings, world.catalog)
     key = ["trade_name", "parcel", "complex_id", "method"]
     count = lambda df: {tuple(r) for r in df.groupBy(*key).count().collect()}
     assert count(small) == count(large) and len(count(small)) == 3
