@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -45,9 +48,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes = threading.local()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, never reused between runs."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that :func:`scratch_path` named, in whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[list[str]]:
+    """Folders named inside are removed at the end, unless they were taken out of the list: for steps whose result is
+    written, so that nothing lazy reads them any more."""
+    before = getattr(_scopes, "open", [])
+    made: list[str] = []
+    _scopes.open = [*before, made]
+    try:
+        yield made
+    finally:
+        _scopes.open = before
+        for path in made:
+            remove(spark, path)
 
 
 def cut(df):
