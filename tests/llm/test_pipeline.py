@@ -1,3 +1,4 @@
+import os
 import re
 
 import corpus_pipeline
@@ -7,6 +8,7 @@ from test_exact_dedup import lowered
 from test_simhash import brute_fingerprint
 
 from hanok.llm import mixing
+from hanok.session import shared_dir
 
 WORDS = {"en": "the of and that with this from have which their would about there other these".split(), "fr": "le la les des une dans pour avec cette mais nous vous être où déjà même".split()}
 
@@ -54,7 +56,11 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     kept = brute(docs, items)
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
+    shared = shared_dir(spark)
+    there = set(os.listdir(shared))
     got = corpus_pipeline.run(spark, folder)
+    left = [d for d in set(os.listdir(shared)) - there if os.path.isdir(os.path.join(shared, d, "")) and "-" in d and os.listdir(os.path.join(shared, d)) and any(f.endswith(".parquet") for f in os.listdir(os.path.join(shared, d)))]
+    assert len(left) == 1 and left[0].startswith("stage-source_mix")
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "taken", "copies"]
     # the mix is held against its own test; here it must take its documents from exactly what the stages keep
     whole = spark.createDataFrame(kept, "doc_id bigint, text string, lang string, source string, n_chars bigint")
