@@ -147,7 +147,8 @@ def estimates(sales: DataFrame, targets: Mapping[str, tuple[int, bool]], bands=f
 
 
 def evidence(sales: DataFrame, est: DataFrame, targets: Mapping[str, tuple[int, bool]], bands=fv.ANALYSIS_BANDS, min_floor=10) -> DataFrame:
-    """The trades behind each estimate, with month distance and sort place (newest first within an estimate)."""
+    """The trades behind each estimate, with month distance and sort place within the estimate: newest first, then
+    the dearest, then by floor and area."""
     typed = typed_trades(sales, bands, min_floor)
     sides = est.select("complex_id", "area_type", F.col("area_used").alias("cluster_area"), "side", "window", "center", "threshold")
     out = None
@@ -157,7 +158,8 @@ def evidence(sales: DataFrame, est: DataFrame, targets: Mapping[str, tuple[int,
         hit = hit.withColumn("distance", F.abs(F.col("midx") - index)).filter(F.col("distance") <= F.col("window"))
         hit = hit.filter(F.col("threshold").isNull() | (F.abs(F.col("price") - F.col("center")) <= F.col("threshold")))
         out = hit if out is None else out.unionByName(hit)
-    return out.select("complex_id", "side", "date", "floor", "area", "price", "distance")
+    newest = Window.partitionBy("complex_id", "area_type", "side").orderBy(F.desc("date"), F.desc("price"), "floor", "area")
+    return out.select("complex_id", "area_type", "side", "date", "floor", "area", "price", "distance", F.row_number().over(newest).alias("place"))
 
 
 def confidence(start: str = "start", end: str = "end", labels: Mapping[str, str] = fv.SIDE_LABEL) -> tuple[Column, Column]:

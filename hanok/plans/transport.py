@@ -39,6 +39,7 @@ def station_groups(nodes: DataFrame, relations: DataFrame, centre=CENTRE) -> Dat
 
 def link_stations(complexes: DataFrame, official_points: DataFrame, nodes: DataFrame, ways: DataFrame, relations: DataFrame, prior_links: DataFrame | None = None) -> Outcome:
     """Every complex with the stations within walking reach."""
+    nodes = nodes.filter(inside_box("lon", "lat", fv.NETWORK_BOX))
     # the network, the stations and the walks are each used several times below: written once
     edges = cut(network(ways))
     grouped = cut(station_groups(nodes, relations))

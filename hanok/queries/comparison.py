@@ -92,12 +92,12 @@ def price_estimates(star):
 
 
 @query("evidence_samples", "O4", f"""WITH {SALE}, {ESTIMATES}
-SELECT complex_id, side, strftime(date, '%Y-%m-%d') AS date, floor, area, price, d AS distance
-FROM used JOIN est USING (complex_id, area_type, cluster_area, side) WHERE normal AND area_type = 59""")
+SELECT complex_id, area_type, side, strftime(date, '%Y-%m-%d') AS date, floor, area, price, d AS distance,
+  row_number() OVER (PARTITION BY complex_id, area_type, side ORDER BY date DESC, price DESC, floor, area) AS place
+FROM used JOIN est USING (complex_id, area_type, cluster_area, side) WHERE normal""")
 def evidence_samples(star):
-    bands = {59: est.fv.ANALYSIS_BANDS[59]}
-    found = est.evidence(star.sales, est.estimates(star.sales, TARGETS, bands), TARGETS, bands)
-    return found.select("complex_id", "side", F.col("date").cast("string").alias("date"), "floor", "area", "price", "distance")
+    found = est.evidence(star.sales, est.estimates(star.sales, TARGETS), TARGETS)
+    return found.select("complex_id", "area_type", "side", F.col("date").cast("string").alias("date"), "floor", "area", "price", "distance", "place")
 
 
 def _side(prefix):
