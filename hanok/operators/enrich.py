@@ -136,18 +136,35 @@ def master_catalogue(rows: DataFrame, regions: Sequence[str], prior: DataFrame |
 NATIONAL_FACTS = ("단지명", "세대수", "사용승인일", "분양형태", "시도", "시군구")
 
 
+def _of_cities(rows: DataFrame, cities: Sequence[str], province: str) -> DataFrame:
+    """Rows of the national list that lie in one of the cities, with its name as ``region``."""
+    short = [(c, c.removesuffix("시")) for c in cities]
+    region = F.coalesce(*[F.when(F.startswith(clean("시군구"), F.lit(s)), F.lit(c)) for c, s in short])
+    return rows.filter(F.col("시도") == province).withColumn("region", region).filter("region is not null")
+
+
+def national_violations(rows: DataFrame, cities: Sequence[str], province: str = "경기도") -> DataFrame:
+    """What must stop a run over the national list: household counts that are no numbers, and complexes without a code."""
+    from hanok.operators import guards
+
+    scoped, households, code = _of_cities(rows, cities, province), clean("세대수"), clean("단지코드")
+    return guards.all_of(
+        guards.violations(scoped, "unreadable_households", (households != "") & households.try_cast("double").isNull(), code, households),
+        guards.violations(scoped, "blank_complex_code", code == "", clean("단지명")),
+    )
+
+
 def national_catalogue(rows: DataFrame, cities: Sequence[str], province: str = "경기도", least_households: int = 300) -> tuple[DataFrame, DataFrame]:
     """Catalogue of the given cities from the national list, and the complexes held back with a reason.
 
     A repeated id keeps its first row (``ord``); ids whose rows disagree on a basic fact, have an unreadable approval
-    date, or join several parcels under one household count are held.
+    date, or join several parcels under one household count are held. See :func:`national_violations` for what must stop
+    the run beforehand.
     """
     cid = clean("단지코드")
     facts = F.concat_ws("\u0001", *[clean(c) for c in NATIONAL_FACTS])
     conflict = rows.groupBy(cid.alias("complex_id")).agg((F.min(facts) != F.max(facts)).alias("_conflict"))
-    short = [(c, c.removesuffix("시")) for c in cities]
-    region = F.coalesce(*[F.when(F.startswith(clean("시군구"), F.lit(s)), F.lit(c)) for c, s in short])
-    scoped = rows.filter(F.col("시도") == province).withColumn("region", region).filter("region is not null")
+    scoped = _of_cities(rows, cities, province)
     scoped = scoped.withColumn("_hh", F.floor(F.coalesce(number("세대수"), F.lit(0.0))).cast("int"))
     scoped = scoped.filter((F.col("_hh") >= least_households) & F.col("단지분류").isin(fv.APARTMENT, fv.MIXED_USE) & F.col("분양형태").isin(fv.FOR_SALE, fv.MIXED_TENURE))
     approval = F.substring(clean("사용승인일"), 1, 8)

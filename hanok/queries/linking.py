@@ -262,6 +262,15 @@ def national_catalogue(star):
     return good.select("complex_id", "region", "households", "build_year", "metadata_jibun", "top_floor")
 
 
+@query("national_violations", "F6 G7", f"""WITH {CATALOGUE}, n AS (SELECT * FROM catalogue WHERE province <> 'AFRICA')
+SELECT 'unreadable_households' AS guard, '' || complex_id AS key, '미상' AS detail FROM n WHERE households = 900
+UNION ALL SELECT 'blank_complex_code', name, '' FROM n WHERE households = 1000""")
+def national_violations(star):
+    hh = F.col("세대수")
+    rows = _national_rows(star).withColumn("단지코드", F.when(hh == "1000", " ").otherwise(F.col("단지코드"))).withColumn("세대수", F.when(hh == "900", "미상").otherwise(hh))
+    return en.national_violations(rows, [f"NATION_{i}" for i in reversed(range(25))])
+
+
 @query("held_complexes", "C4 A5", f"""WITH {NATIONAL} SELECT '' || complex_id AS complex_id, region, reason FROM n WHERE reason IS NOT NULL""")
 def held_complexes(star):
     _, held = en.national_catalogue(_national_rows(star), [f"NATION_{i}" for i in reversed(range(25))])
