@@ -85,3 +85,10 @@ def test_span_hashes_depend_on_the_bytes_alone():
     assert [bytes(data[a:b]) for a, b in zip(starts, ends)] == [b"ab", b"cab", b"ab\x00", b"ab"] and of.tolist() == [0, 0, 0, 1]
     h = span_hashes(data, starts, ends)
     assert h[0] == h[3] and len(set(h.tolist())) == 3
+
+
+def test_group_sums():
+    rng = np.random.default_rng(4)
+    values = rng.normal(size=(500, 3))
+    cuts = np.unique(np.concatenate([[0], rng.integers(0, 500, 60), [499]]))
+    assert np.allclose(maxent.group_sums(values, cuts), np.add.reduceat(values, cuts, axis=0))
