@@ -40,7 +40,8 @@ from hanok.llm.columnar import BASE, BASE_INVERSE, BYTE_VALUE, _splitmix, blocks
 from hanok.llm.tables import staged
 
 WINDOW, GRAM = 200, 32
-BLOCK, CROWD = 1 << 21, 20_000
+#: Bytes of a block, different segments of a crowded anchor, and segments that may be broadcast as frequent.
+BLOCK, CROWD, HOT = 1 << 21, 20_000, 10_000
 REACH = WINDOW - GRAM  # an anchor starts at most so far into its window
 COLUMNS = REACH + WINDOW
 
@@ -243,7 +244,12 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     columns = parts.filter("not crowded").select("anchor", "doc_id", "th", "n", "lo", "run", "left", "bytes").repartition("anchor").drop("anchor")
     marks = columns.mapInArrow(_construct, f"{ids}, a int, b int").unionByName(_crowded_marks(parts.filter("crowded")))
 
-    whole = met.filter("not differ").unionByName(met.filter("differ").join(each.filter("n > 1").select("anchor", "seg"), ["anchor", "seg"], "left_semi"), allowMissingColumns=True)
+    # segments that occur often, at most HOT by their count, are found without a shuffle
+    often = max(2, met.count() // HOT + 1)
+    hot = F.broadcast(each.filter(F.col("n") >= often).select("anchor", "seg", F.lit(True).alias("hot")))
+    told = met.filter("differ").join(hot, ["anchor", "seg"], "left")
+    rest = told.filter("hot is null").join(each.filter((F.col("n") > 1) & (F.col("n") < often)).select("anchor", "seg"), ["anchor", "seg"], "left_semi")
+    whole = met.filter("not differ").unionByName(told.filter("hot").drop("hot")).unionByName(rest.drop("hot"))
     marks = staged(marks.unionByName(whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("run") + WINDOW - 1).cast("int").alias("b"))), "marks")
     by_text = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
     marked = _by_text(rows, by_text, "left").select("doc_id", "text", "marks")
