@@ -120,7 +120,7 @@ def composed(c) -> Column:
 
 def norm(c, exact: bool = False) -> Column:
     """Letters and digits of a name, lower case, without the word for apartment."""
-    s = nfkc(col(c)) if exact else compat(composed(c))
+    s = nfkc(col(c)) if exact else let(composed(c), compat)
     s = F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit(fv.APARTMENT), F.lit(""))
     return F.regexp_replace(s, f"[^{KEPT}]+", "")
 
@@ -134,7 +134,7 @@ def norm_name(c) -> Column:
     def both(raw):
         return F.coalesce(F.nullif(strip(F.regexp_replace(raw, r"\([^)]*\)", "")), F.lit("")), strip(raw))
 
-    return let(F.lower(F.coalesce(compat(composed(c)), F.lit(""))), both)
+    return let(F.lower(F.coalesce(let(composed(c), compat), F.lit(""))), both)
 
 
 def station_name(c) -> Column:
