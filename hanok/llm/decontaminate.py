@@ -11,8 +11,9 @@ an ordinary shuffle. Equal items are compared once and share the finding of the
 
 Defined cases: words are runs of letters and digits after lower-casing, so punctuation glued to words does not hide a
 passage; null and empty texts have no words; items of fewer than ``SHORTEST`` words are no evidence and never match; long
-texts are read whole; rows that share a doc_id are one document, and a null id is an id of its own. Extra columns play no
-part. An empty documents or benchmark table gives an empty result.
+texts are read whole; rows that share a doc_id are one document, and a null id is an id of its own; a null item_id is
+an id like any other, and different items that share an item_id are reported as one, by the best window of any. Extra
+columns play no part. An empty documents or benchmark table gives an empty result.
 """
 
 from __future__ import annotations
@@ -66,17 +67,17 @@ def overlaps(
     Starts are word numbers from 0; of equally good windows the first in the item counts, then the first in the document.
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") >= SHORTEST)
-    items = staged(items.groupBy("item").agg(F.min("item_id").alias("item_id")), "items")
-    item_seeds = seeds(items.select("item_id", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes")), "item_id", masks)
+    items = staged(items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("item")), "items")
+    item_seeds = seeds(items.select("item_key", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes")), "item_key", masks)
     item_seeds = staged(item_seeds.withColumnRenamed("pos", "item_pos"), "item-seeds")
     if item_seeds.limit(most_seeds + 1).count() <= most_seeds:
         item_seeds = F.broadcast(item_seeds)
     doc_seeds = seeds(docs.select("doc_id", _hashed(F.col("text")).alias("hashes")), "doc_id", masks)
-    hits = doc_seeds.join(item_seeds, "seed").select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    hits = doc_seeds.join(item_seeds, "seed").select("doc_id", "item_key", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
     hits = staged(hits.withColumnRenamed("doc_id", "_id"), "hits")
 
     found = docs.select("doc_id", words(F.col("text")).alias("doc")).join(hits, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    found = found.join(items, "item_id")
+    found = found.join(items, "item_key")
     # the part of the item that lies on the document, compared word by word
     first = F.greatest(F.lit(0), -F.col("shift"))
     length = F.least(F.size("item"), F.size("doc") - F.col("shift")) - first

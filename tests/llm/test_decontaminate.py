@@ -74,3 +74,14 @@ def test_stage_and_odd_rows(spark, odd_docs, no_docs, benchmark):
     assert decontaminate.clean(odd_docs, table).count() == odd_docs.count()
     assert decontaminate.overlaps(no_docs, table).count() == 0
     assert decontaminate.overlaps(odd_docs, table.limit(0)).count() == 0
+
+
+def test_null_and_repeated_item_ids(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abcd"]
+    items = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(k, "so " + t) for k, t in enumerate(texts)] + [(9, "nothing of the kind is here")], "doc_id bigint, text string")
+    for most in (decontaminate.MOST_SEEDS, 0):
+        got = decontaminate.overlaps(docs, items, most_seeds=most).collect()
+        assert {(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got} == {(k, i, 1, 0, 13) for k, i in enumerate((None, 1, 1, None))}
+        assert len(got) == 4
+    assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [9]
