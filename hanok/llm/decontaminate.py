@@ -4,7 +4,9 @@ Words are hashed; a fixed mask takes some of the next words and ignores the othe
 break a seed. Masked hashes of the benchmark are joined with those of the documents. Each hit fixes an alignment of an
 item with a document; along it the words are compared one by one, and a window of ``WINDOW`` words (the whole item, if it
 is shorter) that agrees in at least ``SIMILARITY`` of them is an overlap. The two masks together find every window of 13
-words with any two substitutions, and every window of 20 with any four.
+words with any two substitutions, and every window of 20 with any four. Shorter items lose all seeds of those to a
+substitution in the wrong place; they have masks of four words, which find every item of 5 to 12 words that agrees in
+``SIMILARITY``. Documents are seeded with these only if the benchmark has such items.
 
 The seeds of the benchmark are broadcast only if a count shows at most ``MOST_SEEDS`` rows; a larger benchmark is joined by
 an ordinary shuffle. Equal items are compared once and share the finding of the smallest item_id.
@@ -27,6 +29,9 @@ from hanok.llm.tables import staged
 
 #: 1: the word counts, 0: any word.
 MASKS = ("11111", "11100101")
+#: For windows below ``SHORT`` words: one substitution in any five words leaves one of these whole, so 5 to 9 words may
+#: lose one and 10 to 12 two (one half then has at most one).
+SHORT_MASKS, SHORT = ("1111", "11101", "11011", "10111"), 13
 WINDOW, SIMILARITY, SHORTEST = 13, 0.8, 5
 MOST_SEEDS = 2_000_000
 
@@ -36,17 +41,17 @@ def words(text: Column) -> Column:
 
 
 def seeds(rows: DataFrame, key: str, masks: Sequence[str] = MASKS) -> DataFrame:
-    """(key, pos, seed) of every masked window of ``rows(key, hashes)``; pos counts words from 0."""
+    """(key, pos, seed) of every masked window of ``rows(key, hashes)``; pos counts words from 0. Seeds are told apart by mask."""
     offsets = sorted({i for m in masks for i, c in enumerate(m) if c == "1"})
     n = F.size("hashes")
     columns = [F.slice("hashes", F.lit(o + 1), n).alias(f"w{o}") for o in offsets]
     at = rows.filter(n >= min(map(len, masks))).select(key, F.posexplode(F.arrays_zip(*columns)).alias("pos", "w"))
 
-    def one(k: int, mask: str) -> Column:
+    def one(mask: str) -> Column:
         used = [F.col(f"w.w{i}") for i, c in enumerate(mask) if c == "1"]
-        return F.when(used[-1].isNotNull(), F.xxhash64(F.lit(k), *used))  # the last word is there, so all are
+        return F.when(used[-1].isNotNull(), F.xxhash64(F.lit(int(mask, 2)), *used))  # the last word is there, so all are
 
-    made = at.select(key, "pos", F.explode(F.array(*[one(k, m) for k, m in enumerate(masks)])).alias("seed"))
+    made = at.select(key, "pos", F.explode(F.array(*[one(m) for m in masks])).alias("seed"))
     return made.filter("seed is not null")
 
 
@@ -68,7 +73,12 @@ def overlaps(
     """
     items = benchmark.select("item_id", words(F.col("text")).alias("item")).filter(F.size("item") >= SHORTEST)
     items = staged(items.groupBy("item").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("item")), "items")
-    item_seeds = seeds(items.select("item_key", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes")), "item_key", masks)
+    hashed = items.select("item_key", F.transform("item", lambda w: F.xxhash64(w)).alias("hashes"))
+    short = F.least(F.lit(window), F.size("hashes")) < SHORT
+    item_seeds = seeds(hashed.filter(~short), "item_key", masks)
+    if not hashed.filter(short).isEmpty():
+        item_seeds = item_seeds.unionByName(seeds(hashed.filter(short), "item_key", SHORT_MASKS))
+        masks = [*masks, *SHORT_MASKS]
     item_seeds = staged(item_seeds.withColumnRenamed("pos", "item_pos"), "item-seeds")
     if item_seeds.limit(most_seeds + 1).count() <= most_seeds:
         item_seeds = F.broadcast(item_seeds)

@@ -2,7 +2,7 @@ from hanok.llm import decontaminate
 from hanok.llm.registry import llm_query
 from hanok.llm.tables import table
 
-# every alignment that shares enough words, without seeds: equal wherever the seeds are lossless (items of 13 words or more)
+# every alignment that shares enough words, without seeds
 SQL = r"""
 WITH item AS (SELECT min(item_id) AS item_id, ws FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) >= 5 GROUP BY ws),
 doc AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),

@@ -85,3 +85,40 @@ def test_null_and_repeated_item_ids(spark):
         assert {(r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got} == {(k, i, 1, 0, 13) for k, i in enumerate((None, 1, 1, None))}
         assert len(got) == 4
     assert [r.doc_id for r in decontaminate.clean(docs, items).collect()] == [9]
+
+
+def test_short_items_are_found_wherever_their_words_are_substituted(spark):
+    from itertools import combinations
+
+    items, docs = [], []
+    for n in range(5, 13):
+        item = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for bad in combinations(range(n), n - -(-4 * n // 5)):
+            docs.append((len(docs), "before " + " ".join("other" if k in bad else w for k, w in enumerate(item)) + " after"))
+        docs.append((len(docs), " ".join(item[: n // 2] + ["other"] * 3 + item[n // 2 + 3 :])))  # too many
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(docs, items)
+    got = decontaminate.overlaps(rows, table).collect()
+    assert sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got) == want
+    assert len(want) == sum(n if n < 10 else n * (n - 1) // 2 for n in range(5, 13)) == len(docs) - 8
+    leaked = {r.doc_id for r in got}
+    assert {r.doc_id for r in decontaminate.clean(rows, table).collect()} == {d for d, _ in docs} - leaked
+
+
+def test_short_masks_equal_brute_force(spark, benchmark):
+    items, _ = benchmark
+    rng = np.random.default_rng(3)
+    short = [(k, " ".join(t.split()[:n])) for (k, t), n in zip(items * 2, (5, 7, 8, 9, 6, 4, 12, 10, 11, 20, 14))]
+    short = [(100 + k, t) for k, (_, t) in enumerate(dict.fromkeys((0, t) for _, t in short))]
+    docs = []
+    for k in range(80):
+        item = short[k % len(short)][1].split()
+        for _ in range(k % 4):
+            item[rng.integers(0, len(item))] = f"sub{k}"
+        docs.append((k, f"lead{k} " + " ".join(item) + f" tail{k}" * (k % 3)))
+    table = spark.createDataFrame(short, "item_id bigint, text string")
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in decontaminate.overlaps(rows, table).collect())
+    assert got == brute(docs, short)
