@@ -13,7 +13,8 @@ The sample and the filters therefore only choose in which pass a phrase is count
 
 What was proposed is handed to the tasks as a bitmap of at most ``2 ** MOST_BITS`` bits over phrase hashes; what collides in it
 is counted in addition, which does no harm. Tasks count their blocks in numpy before anything is shuffled, so a frequent word
-or phrase is one row per block. Words travel as 64-bit hashes, with another seed if two words of a language share one.
+or phrase is one row per block. Words and languages travel as 64-bit hashes, under another seed if a second hash shows that two words of
+a language share one; a last pass spells the words of the phrases that are reported.
 
 Defined cases: A-Z are lower-cased; a null text has no word; a null language is ``und``; texts are read whole; repeated rows
 and ids count each time; extra columns play no part; an empty table has no phrase.
@@ -35,7 +36,7 @@ from hanok.llm.tables import staged
 
 LEAST, LONGEST, TOP, CONTAINED, UNKNOWN = 10, 3, 2_000, 50, "und"
 #: One document in so many is in the sample, in which a word or phrase is proposed if it occurs so often.
-SAMPLE, PROPOSED = 4, 2
+SAMPLE, PROPOSED = 4, 3
 #: Bitmaps have 16 bits for each phrase handed over, and at most 2^28 (32 MB).
 BITS_EACH, MOST_BITS = 16, 28
 #: Bytes of text at a time.
@@ -132,57 +133,81 @@ def _of_lang(name: str) -> int:
     return int(span_hashes(data, np.zeros(1, np.int64), np.array([len(data)]))[0])
 
 
+def _read(batches: Iterator[pa.RecordBatch], seed: int):
+    """Block by block: the lower-cased bytes, start, end and piece of each word, its hash (never 0), the number and hash of its
+    language, and the languages."""
+    for batch in batches:
+        langs = batch.column("lang").dictionary_encode()
+        of_lang = np.array([_of_lang(v) for v in langs.dictionary.to_pylist()], np.uint64)
+        data, offsets = text_bytes(batch.column("text"))
+        for a, z in blocks(offsets, BLOCK):
+            low = LOWERED[data[offsets[a] : offsets[z]]]
+            starts, ends, text, piece = tokens(low, offsets[a : z + 1] - offsets[a])
+            if len(starts):
+                raw = span_hashes(low, starts, ends)
+                word = np.maximum(_splitmix(raw + np.uint64(seed)), np.uint64(1))
+                lang = langs.indices.to_numpy()[a:z][text]
+                yield low, starts, ends, piece, word, raw, lang, of_lang[lang], langs.dictionary
+
+
 def _counter(seed: int, lengths: Sequence[int], asked: dict[int, tuple[Members, Members | None]], longest: int):
     """Counts of the phrases of some lengths: of one word all, of k words those whose two shorter phrases are members of
-    ``asked[k - 1][0]`` and not both of ``asked[k - 1][1]``, an earlier pass's."""
+    ``asked[k - 1][0]`` and not both of ``asked[k - 1][1]``, an earlier pass's. Of a word also its second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
-            of_lang = np.array([_of_lang(v) for v in langs.dictionary.to_pylist()], np.uint64)
-            data, offsets = text_bytes(batch.column("text"))
-            for a, z in blocks(offsets, BLOCK):
-                low = LOWERED[data[offsets[a] : offsets[z]]]
-                starts, ends, text, piece = tokens(low, offsets[a : z + 1] - offsets[a])
-                if not len(starts):
+        for low, starts, ends, piece, word, raw, _, lang, _ in _read(batches, seed):
+            for k in lengths:
+                at = np.arange(max(0, len(word) - k + 1))
+                if k > 1:
+                    at = at[piece[at] == piece[at + k - 1]]
+                    first, second = (combined([word[at + i + j] for j in range(k - 1)], lang[at]) for i in (0, 1))
+                    members, earlier = asked[k - 1]
+                    keep = members.has(first) & members.has(second)
+                    if earlier is not None:
+                        keep &= ~(earlier.has(first) & earlier.has(second))
+                    at = at[keep]
+                if not len(at):
                     continue
-                word = _splitmix(span_hashes(low, starts, ends) + np.uint64(seed))
-                lang = langs.indices.to_numpy()[a:z][text]
-                hashed = of_lang[lang]
-                for k in lengths:
-                    at = np.arange(max(0, len(word) - k + 1))
-                    if k > 1:
-                        at = at[piece[at] == piece[at + k - 1]]
-                        first, second = (combined([word[at + i + j] for j in range(k - 1)], hashed[at]) for i in (0, 1))
-                        members, earlier = asked[k - 1]
-                        keep = members.has(first) & members.has(second)
-                        if earlier is not None:
-                            keep &= ~(earlier.has(first) & earlier.has(second))
-                        at = at[keep]
-                    if not len(at):
-                        continue
-                    words = [word[at + j] for j in range(k)]
-                    row, count = _grouped(combined(words, hashed[at]), [*words, lang[at]])
-                    at = at[row]
-                    columns = [langs.dictionary.take(pa.array(lang[at]))]
-                    columns += [pa.array(words[j][row].view(np.int64)) if j < k else pa.nulls(len(at), pa.int64()) for j in range(longest)]
-                    columns += [pa.array(count), _spelled(low, starts[at], ends[at]) if k == 1 else pa.nulls(len(at), pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*_names(longest), "f", "word"])
+                words = [word[at + j] for j in range(k)]
+                row, count = _grouped(combined(words, lang[at]), [*words, lang[at]])
+                none = np.zeros(len(row), np.uint64)
+                second = _splitmix(raw[at[row]] * PLACE[0] ^ (ends - starts)[at[row]].astype(np.uint64) * PLACE[1]) if k == 1 else none
+                columns = [lang[at[row]], *(words[j][row] if j < k else none for j in range(longest)), count, second]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=[*_names(longest), "f", "check"])
+
+    return run
+
+
+def _speller(seed: int, members: Members):
+    """(lang, g, w0, word, n): for each block its languages with their number of words, and its words among the members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low, starts, ends, _, word, _, lang, hashed, names in _read(batches, seed):
+            n = np.bincount(lang, minlength=len(names))
+            some = np.flatnonzero(n)
+            first = np.full(len(names), len(lang))
+            np.minimum.at(first, lang, np.arange(len(lang)))
+            columns = [names.take(pa.array(some)), pa.array(hashed[first[some]].view(np.int64)), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.string()), pa.array(n[some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "g", "w0", "word", "n"])
+            key = combined([word], hashed)
+            at = np.flatnonzero(members.has(key))
+            if len(at):
+                at = at[_grouped(key[at], [word[at], hashed[at]])[0]]
+                columns = [names.take(pa.array(lang[at])), pa.array(hashed[at].view(np.int64)), pa.array(word[at].view(np.int64)), _spelled(low, starts[at], ends[at]), pa.nulls(len(at), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "g", "w0", "word", "n"])
 
     return run
 
 
 def _names(k: int, first: int = 0) -> list[str]:
-    return ["lang", *(f"w{i}" for i in range(first, first + k))]
+    return ["g", *(f"w{i}" for i in range(first, first + k))]
 
 
 def _hashes(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").dictionary_encode()
-            of_lang = np.array([_of_lang(v) for v in langs.dictionary.to_pylist()], np.uint64)
-            words = [batch.column(f"w{i}").to_numpy().view(np.uint64) for i in range(k)]
-            yield pa.RecordBatch.from_arrays([pa.array(combined(words, of_lang[langs.indices.to_numpy()]).view(np.int64))], names=["h"])
+            g, *words = (batch.column(c).to_numpy().view(np.uint64) for c in _names(k))
+            yield pa.RecordBatch.from_arrays([pa.array(combined(words, g).view(np.int64))], names=["h"])
 
     return run
 
@@ -193,53 +218,66 @@ def _members(phrases: Sequence[DataFrame], k: int) -> Members:
     return Members(staged(rows.mapInArrow(_hashes(k), "h bigint"), "phrase-members"))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
 @dataclass
 class Counts:
-    """``frequent[k]`` (lang, w0 ... , f), with the spelling ``word`` for k = 1: all phrases of k words that occur often enough;
-    ``words`` (lang, n): all words; ``passes``: the lengths counted in each pass over all documents."""
+    """``frequent[k]`` (g, w0, ..., f): all phrases of k words that occur often enough, by the hashes of language and words under
+    ``seed``; ``passes``: the lengths counted in each pass over all documents."""
 
     frequent: dict[int, DataFrame]
-    words: DataFrame
     passes: list[tuple[int, ...]]
+    seed: int
 
 
 def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, sample: int = SAMPLE, proposed: int = PROPOSED, seed: int = 1) -> Counts:
     """Exact counts of all phrases of at most ``longest`` words of ``docs(lang, text)`` that occur at least ``least`` times."""
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    fields = f"lang string, {', '.join(f'w{i} bigint' for i in range(longest))}, f bigint, word string"
+    rows = _texts(docs)
     lengths = tuple(range(1, longest + 1))
+    schema = ", ".join(f"{c} bigint" for c in [*_names(longest), "f", "check"])
 
-    def counted(table: DataFrame, ks: Sequence[int], asked: dict) -> DataFrame:
-        found = table.mapInArrow(_counter(seed, ks, asked, longest), fields)
-        return staged(found.groupBy(*_names(longest)).agg(F.sum("f").alias("f"), F.min("word").alias("word"), F.max("word").alias("other")), "phrase-counts")
+    def counted(table: DataFrame, ks: Sequence[int], asked: dict, times: int) -> DataFrame:
+        found = table.mapInArrow(_counter(seed, ks, asked, longest), schema)
+        sums = found.groupBy(*_names(longest)).agg(F.sum("f").alias("f"), (F.min("check") != F.max("check")).alias("shared"))
+        return staged(sums.filter((F.col("f") >= times) | F.col("shared")), "phrase-counts")
 
-    def often(counts: DataFrame, k: int, times: int) -> DataFrame:
-        exactly = F.col(f"w{k - 1}").isNotNull() & (F.col(f"w{k}").isNull() if k < longest else F.lit(True))
-        return counts.filter(exactly & (F.col("f") >= times)).select(*_names(k), "f", "word")
+    def of_length(counts: DataFrame, k: int) -> DataFrame:
+        rest = [F.col(f"w{i}") for i in range(k, min(k + 1, longest))]
+        return counts.filter(reduce(lambda c, w: c & (w == 0), rest, F.col(f"w{k - 1}") != 0)).select(*_names(k), "f")
 
     part = staged(rows.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(sample)) == 0), "phrase-sample")
     propose: dict[int, DataFrame] = {}
     asked: dict[int, Members] = {}
     for k in lengths[:-1]:
-        propose[k] = often(counted(part, (k,), {j: (m, None) for j, m in asked.items()}), k, proposed)
+        propose[k] = of_length(counted(part, (k,), {j: (m, None) for j, m in asked.items()}, proposed), k)
         asked[k] = _members([propose[k]], k)
-    counts = counted(rows, lengths, {k: (m, None) for k, m in asked.items()})
-    if not counts.filter("word <> other").isEmpty():  # two words of one hash: other hashes
+    counts = counted(rows, lengths, {k: (m, None) for k, m in asked.items()}, least)
+    if not counts.filter("shared").isEmpty():  # two words of one hash: other hashes
         return mine(docs, least, longest, sample, proposed, seed + 1)
     passes = [lengths]
-    frequent = {k: often(counts, k, least) for k in lengths}
+    frequent = {k: of_length(counts, k) for k in lengths}
     for k in lengths[1:]:
         failures = frequent[k - 1].join(propose[k - 1], _names(k - 1), "left_anti")
         if not failures.isEmpty():
             wider = _members([frequent[k - 1], propose[k - 1]], k - 1)
-            more = counted(rows, (k,), {k - 1: (wider, asked[k - 1])})
-            frequent[k] = staged(frequent[k].unionByName(often(more, k, least)), "phrases-frequent")
+            more = counted(rows, (k,), {k - 1: (wider, asked[k - 1])}, least)
+            frequent[k] = staged(frequent[k].unionByName(of_length(more, k)), "phrases-frequent")
             passes.append((k,))
             wider.close()
     for m in asked.values():
         m.close()
-    words = counts.filter(F.col("w1").isNull() if longest > 1 else F.lit(True)).groupBy("lang").agg(F.sum("f").alias("n"))
-    return Counts(frequent, words, passes)
+    return Counts(frequent, passes, seed)
+
+
+def spelled(docs: DataFrame, words: DataFrame, seed: int) -> DataFrame:
+    """(lang, g, w0, word, n) from one pass: the spelling of ``words(g, w0)``, and rows without w0 with the words of each language."""
+    members = _members([words], 1)
+    found = _texts(docs).mapInArrow(_speller(seed, members), "lang string, g bigint, w0 bigint, word string, n bigint")
+    out = staged(found.groupBy("lang", "g", "w0", "word").agg(F.sum("n").alias("n")), "phrase-words")
+    members.close()
+    return out
 
 
 def _exact(name: str) -> str:
@@ -251,7 +289,7 @@ def _scored(phrases: DataFrame, k: int, frequent: dict[int, DataFrame]) -> DataF
     out = phrases.select(*_names(k), F.col("f").alias("a"))
     for j in range(1, k):
         left = frequent[j].select(*_names(j), F.col("f").alias(f"l{j}"))
-        right = frequent[k - j].select("lang", *(F.col(f"w{i}").alias(f"w{i + j}") for i in range(k - j)), F.col("f").alias(f"r{j}"))
+        right = frequent[k - j].select("g", *(F.col(f"w{i}").alias(f"w{i + j}") for i in range(k - j)), F.col("f").alias(f"r{j}"))
         out = out.join(left, _names(j)).join(right, _names(k - j, j))
     score = "cast(1000000 as decimal(7, 0)) * {a} * {a} div ({l} * {r})"  # at most 37 digits
     cuts = [
@@ -265,7 +303,7 @@ def _scored(phrases: DataFrame, k: int, frequent: dict[int, DataFrame]) -> DataF
 def _not_contained(phrases: DataFrame, k: int, longer: DataFrame, percent: int) -> DataFrame:
     """Without phrases that a phrase one word longer contains in at least ``percent`` of their occurrences. A phrase still
     longer that often would make the one between it as frequent."""
-    ends = [longer.select("lang", *(F.col(f"w{i + j}").alias(f"w{i}") for i in range(k)), F.col("f").alias("_in")) for j in (0, 1)]
+    ends = [longer.select("g", *(F.col(f"w{i + j}").alias(f"w{i}") for i in range(k)), F.col("f").alias("_in")) for j in (0, 1)]
     most = ends[0].unionByName(ends[1]).groupBy(*_names(k)).agg(F.max("_in").alias("_in"))
     return phrases.join(most, _names(k), "left").filter(F.col("_in").isNull() | (100 * F.col("_in") < percent * F.col("a"))).drop("_in")
 
@@ -278,12 +316,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
         rows = _scored(counts.frequent[k], k, counts.frequent)
         if k < longest:
             rows = _not_contained(rows, k, counts.frequent[k + 1], contained)
-        parts.append(rows.select("lang", F.array(*_names(k)[1:]).alias("words"), "a", "l", "r", "score"))
+        parts.append(rows.select("g", F.array(*_names(k)[1:]).alias("words"), "a", "l", "r", "score"))
     best = [F.col("score").desc(), F.col("a").desc()]
-    near = reduce(DataFrame.unionByName, parts).withColumn("_rank", F.rank().over(Window.partitionBy("lang").orderBy(*best)))
+    near = reduce(DataFrame.unionByName, parts).withColumn("_rank", F.rank().over(Window.partitionBy("g").orderBy(*best)))
     near = staged(near.filter(F.col("_rank") <= top).drop("_rank"), "phrases-ranked")
-    spelled = near.select("*", F.posexplode("words").alias("_at", "w0")).join(counts.frequent[1].select("lang", "w0", "word"), ["lang", "w0"])
-    spelled = spelled.groupBy("lang", "words", "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_s"))
-    rows = spelled.withColumn("phrase", F.array_join("_s.word", " "))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best, "phrase")).cast("bigint"))
-    return rows.filter(F.col("rank") <= top).join(counts.words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    used = near.select("g", F.explode("words").alias("w0")).distinct()
+    words = spelled(docs, used, counts.seed)
+    named = near.select("*", F.posexplode("words").alias("_at", "w0")).join(words.filter("w0 is not null").select("g", "w0", "word"), ["g", "w0"])
+    named = named.groupBy("g", "words", "a", "l", "r", "score").agg(F.array_sort(F.collect_list(F.struct("_at", "word"))).alias("_s"))
+    rows = named.withColumn("phrase", F.array_join("_s.word", " "))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*best, "phrase")).cast("bigint"))
+    return rows.filter(F.col("rank") <= top).join(words.filter("w0 is null").select("g", "lang", "n"), "g").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
