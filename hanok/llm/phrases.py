@@ -37,10 +37,10 @@ from hanok.llm.tables import staged
 LEAST, LONGEST, TOP, CONTAINED, UNKNOWN = 10, 3, 2_000, 50, "und"
 #: One document in so many is in the sample, in which a word or phrase is proposed if it occurs so often.
 SAMPLE, PROPOSED = 4, 3
-#: Bitmaps have 16 bits for each phrase handed over, and at most 2^28 (32 MB).
-BITS_EACH, MOST_BITS = 16, 28
-#: Bytes of text at a time.
-BLOCK = 1 << 22
+#: Bitmaps have 8 bits for each phrase handed over, and at most 2^27 (16 MB).
+BITS_EACH, MOST_BITS = 8, 27
+#: Bytes of text read at a time, and words counted at a time.
+BLOCK, GATHER = 1 << 20, 1 << 19
 #: Bits of a bitmap that one task sets.
 STRIP = 1 << 18
 #: Fixed by the contract: what parts words, and what ends a piece.
@@ -150,12 +150,27 @@ def _read(batches: Iterator[pa.RecordBatch], seed: int):
                 yield low, starts, ends, piece, word, raw, lang, of_lang[lang], langs.dictionary
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[list[np.ndarray]]:
+    """Hash, language, piece, raw hash and bytes of many words at a time."""
+    held: list[list[np.ndarray]] = []
+    words = pieces = 0
+    for _, starts, ends, piece, word, raw, _, lang, _ in _read(batches, seed):
+        held.append([word, lang, piece + pieces, raw, ends - starts])
+        words += len(word)
+        pieces += int(piece[-1]) + 1
+        if words >= GATHER:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held, words, pieces = [], 0, 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
 def _counter(seed: int, lengths: Sequence[int], asked: dict[int, tuple[Members, Members | None]], longest: int):
     """Counts of the phrases of some lengths: of one word all, of k words those whose two shorter phrases are members of
     ``asked[k - 1][0]`` and not both of ``asked[k - 1][1]``, an earlier pass's. Of a word also its second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for low, starts, ends, piece, word, raw, _, lang, _ in _read(batches, seed):
+        for word, lang, piece, raw, size in _gathered(batches, seed):
             for k in lengths:
                 at = np.arange(max(0, len(word) - k + 1))
                 if k > 1:
@@ -171,7 +186,7 @@ def _counter(seed: int, lengths: Sequence[int], asked: dict[int, tuple[Members,
                 words = [word[at + j] for j in range(k)]
                 row, count = _grouped(combined(words, lang[at]), [*words, lang[at]])
                 none = np.zeros(len(row), np.uint64)
-                second = _splitmix(raw[at[row]] * PLACE[0] ^ (ends - starts)[at[row]].astype(np.uint64) * PLACE[1]) if k == 1 else none
+                second = _splitmix(raw[at[row]] * PLACE[0] ^ size[at[row]].astype(np.uint64) * PLACE[1]) if k == 1 else none
                 columns = [lang[at[row]], *(words[j][row] if j < k else none for j in range(longest)), count, second]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=[*_names(longest), "f", "check"])
 
