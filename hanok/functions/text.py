@@ -88,14 +88,6 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf(T.DoubleType())
-def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity ratio of two names."""
-    from difflib import SequenceMatcher
-
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
-
 # Conjoining jamo and how syllables are numbered from them.
 JAMO = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?"
 FIRST_SYLLABLE, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7

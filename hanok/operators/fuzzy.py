@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanok.functions.text import norm_name, seq_ratio
+from hanok.functions.months import let
+from hanok.functions.similarity import block_ratio
+from hanok.functions.text import norm_name
 from hanok.session import cut
 
 POOL_THRESHOLD, REGION_THRESHOLD = 0.74, 0.80
@@ -34,8 +36,11 @@ def dong_bonus(a, b):
 
 def _tokens(key: str):
     """Characters of a name in order, the i-th copy of a character being one of its own."""
-    s = F.array_sort(F.filter(F.split(key, ""), lambda c: c != ""))
-    return F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string")))
+    # sorted once per name, not once per character
+    return let(
+        F.array_sort(F.filter(F.split(key, ""), lambda c: c != "")),
+        lambda s: F.transform(s, lambda c, i: F.concat(c, (i - F.array_position(s, c) + 1).cast("string"))),
+    )
 
 
 def _signed(names: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
@@ -63,11 +68,9 @@ def similar_names(trade_names: DataFrame, catalogue_names: DataFrame, least: flo
     pairs = a.join(b, ["region", "token"]).select("region", "trade_name", "name").distinct()
     la, lb = F.length("trade_name"), F.length("name")
     pairs = pairs.filter((F.col("trade_name") != F.col("name")) & (2.0 * F.least(la, lb) >= least * (la + lb) - 1e-9))
-    # matching blocks hold no more characters than the names have in common
-    common = F.size(F.array_intersect(_tokens("trade_name"), _tokens("name")))
-    pairs = pairs.filter(2.0 * common >= least * (la + lb) - 1e-9)
     inside = F.contains("trade_name", F.col("name")) | F.contains("name", F.col("trade_name"))
-    scored = pairs.withColumn("inside", inside).withColumn("ratio", seq_ratio("name", "trade_name"))  # not symmetric
+    # pairs with too few characters in common are told within the ratio's own batch; the ratio is not symmetric
+    scored = pairs.withColumn("inside", inside).withColumn("ratio", block_ratio("name", "trade_name", least))
     base = F.when(F.col("inside"), CONTAINED).otherwise(F.col("ratio"))
     return scored.withColumn("base", base).filter(F.col("base") >= least).select("region", "trade_name", "name", "base")
 
