@@ -63,7 +63,7 @@ def publish(spark: SparkSession, root: str, version: str, outcome: Outcome, regi
 
 
 def documents(complexes: DataFrame, sales: DataFrame, leases: DataFrame, key: str = "complex_id", order=("region", "complex_id")) -> tuple[DataFrame, DataFrame]:
-    """Nested documents ``(region, ord, json)`` for part files, and the sizes from which oversized ones are told.
+    """Nested documents ``(region, ord, id, json)`` for part files, and the sizes from which oversized ones are told.
 
     Check the sizes first: only then is every complex known to be small enough to be built in one place.
     """
@@ -75,13 +75,25 @@ def documents(complexes: DataFrame, sales: DataFrame, leases: DataFrame, key: st
         return trades.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias(name))
 
     def size(trades):
-        item = F.to_json(F.struct(*[c for c in trades.columns if c != key]))
+        item = escape_script(F.to_json(F.struct(*[c for c in trades.columns if c != key])))
         return trades.groupBy(key).agg(F.sum(F.octet_length(item) + 1).alias("bytes"))
 
-    heads = complexes.withColumn("_b", F.octet_length(F.to_json(F.struct(*complexes.columns))))
+    # as they will be written: escaping lengthens a text
+    heads = complexes.withColumn("_b", F.octet_length(escape_script(F.to_json(F.struct(*complexes.columns)))))
     sizes = heads.select(key, F.col("_b").cast("bigint").alias("bytes")).unionByName(size(sales)).unionByName(size(leases))
     sizes = sizes.groupBy(key).agg(F.sum("bytes").alias("bytes"))
     numbered = number_rows(complexes, *[F.col(c) for c in order], name="ord")
     full = numbered.join(nested(sales, "tx"), key, "left").join(nested(leases, "jeonse_tx"), key, "left")
     body = F.to_json(F.struct(F.col(key).alias("id"), *[c for c in full.columns if c not in (key, "ord")]))
-    return full.select("region", "ord", escape_script(body).alias("json")), sizes
+    return full.select("region", "ord", F.col(key).cast("string").alias("id"), escape_script(body).alias("json")), sizes
+
+
+def publish_parts(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame], max_bytes: int | None = None) -> None:
+    """A checked snapshot's complexes with their trades as part files below ``root``, all or nothing."""
+    from hanok.functions.fixed_values import PART_MAX_BYTES
+    from hanok.sources import part_store, parts
+
+    limit = max_bytes or PART_MAX_BYTES
+    docs, sizes = documents(tables["complexes"], tables["sales"], tables["leases"])
+    guards.enforce(parts.oversized(sizes, limit))  # before any complex is built in one place
+    part_store.write_store(docs, root, version, limit)

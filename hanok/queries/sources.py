@@ -14,6 +14,7 @@ from hanok.sources import coverage_plan as cp
 from hanok.sources import envelope as ev
 from hanok.sources import listing as ls
 from hanok.sources import lookups
+from hanok.sources import part_store as ps
 from hanok.sources import parts as pt
 from hanok.sources import regional as rg
 from hanok.sources import tabular as tb
@@ -234,6 +235,36 @@ def published_parts(star):
     return rows.select("id", "region", "households", F.greatest(F.size("tx"), F.lit(0)).cast("bigint").alias("trades"), F.when(F.size("tx") > 0, total).alias("total"))
 
 
+def _documents(star):
+    c = star.complexes.select("complex_id", "name", "region", "households")
+    sales = star.sales.select("complex_id", "ym", F.col("date").cast("string").alias("date"), "area", "floor", "price")
+    leases = star.leases.select("complex_id", "ym", F.col("date").cast("string").alias("date"), "area", "floor", "deposit", "kind")
+    return {"complexes": c, "sales": sales, "leases": leases}
+
+
+@query("stored_parts", "K1 K3 S6 G13 G14", f"""WITH {SALE}, {COMPLEX} SELECT row_number() OVER (ORDER BY region, complex_id) AS ord, complex_id AS id, region, households, count(price) AS trades, CAST(sum(price) AS BIGINT) AS total
+FROM complex LEFT JOIN sale USING (complex_id) GROUP BY complex_id, region, households""")
+def stored_parts(star):
+    """The publish job's parts, written by the sink with its commit and read back by the source with all checks."""
+    path = scratch_path(star.spark, "store")
+    up.publish_parts(star.spark, path, "first", _documents(star), 256 * 1024)
+    rows, problems = ps.load_store(star.spark, path, ROW)
+    g.enforce(problems)
+    total = F.aggregate("tx", F.lit(0).cast("bigint"), lambda a, t: a + t["price"])
+    return rows.select("ord", "id", "region", "households", F.greatest(F.size("tx"), F.lit(0)).cast("bigint").alias("trades"), F.when(F.size("tx") > 0, total).alias("total"))
+
+
+@query("parts_of_regions", "S6", f"""WITH {COMPLEX} SELECT region, count(*) AS n FROM complex WHERE region LIKE '%1' OR region LIKE '%A' GROUP BY 1""")
+def parts_of_regions(star):
+    """Some regions of a store: only their parts are opened."""
+    path = scratch_path(star.spark, "store")
+    up.publish_parts(star.spark, path, "first", _documents(star), 64 * 1024)
+    wanted = sorted(p["region"] for p in ps.Store(path).manifest()["parts"] if p["region"].endswith(("1", "A")))
+    rows, problems = ps.load_store(star.spark, path, ROW, regions=wanted)
+    g.enforce(problems)
+    return rows.groupBy("region").agg(F.count("*").alias("n"))
+
+
 @query("tampered_parts", "S6 G13 G14 G15", f"""WITH {COMPLEX} SELECT 'part' AS {GUARD}, 'count' AS detail, CAST(count(DISTINCT region) > 0 AS INT) AS found FROM complex UNION ALL SELECT 'part', 'hash', 1 UNION ALL SELECT 'complex_count', '' || count(*), 1 FROM complex UNION ALL SELECT 'part_listed_twice', '2', 1""")
 def tampered_parts(star):
     """A manifest that contradicts the parts: wrong hash in some regions, wrong count in others, one part listed twice."""

@@ -75,6 +75,8 @@ def pack_parts(documents: DataFrame, max_bytes: int = PART_MAX_BYTES) -> DataFra
         for batch in batches:
             for r, piece in zip(batch["region"], batch["json"]):
                 grown = len(piece.encode()) + 1
+                if frame + grown > max_bytes:
+                    raise ValueError(f"a complex of {r} alone exceeds a part: {frame + grown} of {max_bytes} bytes")
                 if pieces and (r != region or size + grown > max_bytes):
                     yield part()
                     pieces, size = [], frame
