@@ -8,6 +8,7 @@ from hanok.functions.months import ym_of_date
 from hanok.operators import coverage as cv
 from hanok.operators import dedupe as dd
 from hanok.operators import incremental as inc
+from hanok.operators import trees as tr
 from hanok.operators.ranking import number_rows
 from hanok.registry import query
 from hanok.starmap import COMPLEX, LEASE, SALE, TRADE
@@ -258,3 +259,32 @@ def attribute_conflicts(star):
 @query("status_histogram", "A16", """SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1""")
 def status_histogram(star):
     return cv.status_histogram(star.table("orders"), "o_orderstatus")
+
+
+_STATUS, _PRIORITY = "o_orderstatus", "o_orderpriority"
+
+
+@query("merged_documents", "J19 O3", f"""WITH {THREE.replace('o_orderkey AS path', 'o_custkey, o_orderkey AS path')}, j AS (SELECT o_custkey, path, b.value AS b, l.value AS l, r.value AS r FROM b FULL JOIN l USING (o_custkey, path) FULL JOIN r USING (o_custkey, path)),
+w AS (SELECT *, bool_and(b IS NOT DISTINCT FROM l) OVER g AS local_same, bool_and(b IS NOT DISTINCT FROM r) OVER g AS remote_same, count(l) OVER g AS locals FROM j WINDOW g AS (PARTITION BY o_custkey)),
+m AS (SELECT *, CASE WHEN local_same THEN r WHEN remote_same THEN l WHEN b IS NOT DISTINCT FROM l THEN r ELSE l END AS v FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY path DESC) AS n FROM m WHERE v IS NOT NULL),
+k AS (SELECT o_custkey, string_agg(path || ':' || v, ',' ORDER BY path) AS presets FROM n WHERE local_same OR remote_same OR locals = 0 OR n <= 10 GROUP BY 1)
+SELECT o_custkey, coalesce(presets, '') AS presets FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN k USING (o_custkey)""")
+def merged_documents(star):
+    """Each customer's document of saved orders on three devices: merged place by place, lists cut to the newest ten inside."""
+    o, p, s = star.table("orders"), F.col(_PRIORITY), F.col(_STATUS)
+    early = F.col("o_orderdate") < F.lit("2001-01-01").cast("timestamp_ntz")
+    sides = {
+        "base": (p != "4-NOT SPECIFIED", s),
+        "local": (p != "2-HIGH", F.when(p == "1-URGENT", "local").otherwise(s)),
+        "remote": ((p != "4-NOT SPECIFIED") & early, F.when(s == "F", "remote").otherwise(s)),
+    }
+
+    def document(there, note):
+        item = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("savedAt"), F.lit(True).alias("preset"), note.alias("note"))
+        listed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.when(there, item))).alias("presets"))
+        return listed.select("o_custkey", F.to_json(F.struct(F.struct("presets").alias("storage"))).alias("value"))
+
+    merged = tr.merge_documents(*(document(*x) for x in sides.values()), ["o_custkey"])
+    kept = F.from_json("value", "struct<storage:struct<presets:array<struct<id:bigint,note:string>>>>")["storage"]["presets"]
+    return merged.select("o_custkey", F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["id"], x["note"])), ",").alias("presets"))
