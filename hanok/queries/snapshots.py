@@ -281,10 +281,10 @@ def merged_documents(star):
     }
 
     def document(there, note):
-        item = F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("savedAt"), F.lit(True).alias("preset"), note.alias("note"))
+        item = F.struct(F.col("o_orderkey").alias("savedAt"), F.col("o_orderkey").cast("string").alias("id"), F.lit(True).alias("preset"), note.alias("note"))
         listed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.when(there, item))).alias("presets"))
         return listed.select("o_custkey", F.to_json(F.struct(F.struct("presets").alias("storage"))).alias("value"))
 
     merged = tr.merge_documents(*(document(*x) for x in sides.values()), ["o_custkey"])
-    kept = F.from_json("value", "struct<storage:struct<presets:array<struct<id:bigint,note:string>>>>")["storage"]["presets"]
+    kept = F.from_json("value", "struct<storage:struct<presets:array<struct<id:string,note:string>>>>")["storage"]["presets"]
     return merged.select("o_custkey", F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["id"], x["note"])), ",").alias("presets"))
