@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanok.session import cut
+from hanok.session import cut, settled
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -60,13 +60,13 @@ def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     Each round hands every node the smallest label around it and then the label of its label, so long chains close in
     few rounds.
     """
-    pairs = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(nodes.select("id", F.col("id").alias("group_id")))
+    pairs = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(nodes.select("id", F.col("id").alias("group_id")))
     while True:
         near = pairs.join(labels, pairs.b == labels.id).select(F.col("a").alias("id"), "group_id")
         lowest = labels.unionByName(near).groupBy("id").agg(F.min("group_id").alias("group_id"))
         jump = lowest.select(F.col("id").alias("group_id"), F.col("group_id").alias("_next"))
-        new = cut(lowest.join(jump, "group_id", "left").select("id", F.coalesce("_next", "group_id").alias("group_id")))
+        new = settled(lowest.join(jump, "group_id", "left").select("id", F.coalesce("_next", "group_id").alias("group_id")))
         changed = new.join(labels.withColumnRenamed("group_id", "_old"), "id").filter(F.col("group_id") != F.col("_old"))
         done = changed.isEmpty()
         labels = new

@@ -84,3 +84,12 @@ def cut(df):
     """Cut the lineage of a loop step through the shared folder (survives lost executors)."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def settled(df, label: str = "settled"):
+    """Like :func:`cut`; within a :func:`scratch_scope` a written table that goes with the scope, as checkpoints would stay."""
+    if not getattr(_scopes, "open", []):
+        return cut(df)
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
