@@ -226,9 +226,9 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, removed_from, removed_to, kept), one row per row of ``docs(doc_id, text)``: the maximal removed
     byte ranges [from, to) and the bytes that stay."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.hash("text"))
+    rows = rows.withColumn("th", F.xxhash64("text"))
     id_type = dict(rows.dtypes)["doc_id"]
-    ids = f"doc_id {id_type}, th int"
+    ids = f"doc_id {id_type}, th bigint"
     all_ = rows.mapInArrow(_occurrences, f"anchor bigint, seg bigint, {ids}, lo int, run int, left int")
     again = all_.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("s"), F.max("seg").alias("t")).filter("c > 1")
     again = staged(again.select("anchor", (F.col("s") != F.col("t")).alias("differ")), "anchors")
@@ -251,6 +251,6 @@ def remove_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     rest = told.filter("hot is null").join(each.filter((F.col("n") > 1) & (F.col("n") < often)).select("anchor", "seg"), ["anchor", "seg"], "left_semi")
     whole = met.filter("not differ").unionByName(told.filter("hot").drop("hot")).unionByName(rest.drop("hot"))
     marks = staged(marks.unionByName(whole.select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("run") + WINDOW - 1).cast("int").alias("b"))), "marks")
-    by_text = marks.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("marks"))
+    by_text = marks.groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("marks"))  # repeated rows bring the same marks
     marked = _by_text(rows, by_text, "left").select("doc_id", "text", "marks")
     return marked.mapInArrow(_remove, f"doc_id {id_type}, n_bytes bigint, removed_from array<int>, removed_to array<int>, kept binary")

@@ -21,6 +21,7 @@ nothing to learn and only the patterns count. Extra columns play no part. An emp
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 from collections.abc import Iterator
 
@@ -42,10 +43,12 @@ PATTERNS = (
 KINDS = {name: i for i, (name, *_) in enumerate(PATTERNS)} | {"crf": len(PATTERNS)}
 #: Every text with a match contains one of these (RE2 and Java).
 SIGN = r"(?i:password|passwd|secret|token|api_?key)|AKIA[A-Z0-9]|[0-9a-f]{24}"
+#: Exactly the texts with a match (Java).
+MATCH = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}"""
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 TABLE, FIT_DOCS, FIT_WINDOW, EPOCHS, RATE, DECAY = 1 << 14, 400, 96, 40, 0.3, 1e-3
-BLOCK, SPREAD, NAMED = 1 << 22, 1 << 30, 12
+BLOCK, NAMED = 1 << 22, 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -252,20 +255,40 @@ def _window(text: str, values: list[tuple[int, int]], seed: int) -> tuple[np.nda
     return rows[a : a + FIT_WINDOW], labels[a : a + FIT_WINDOW]
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of drawn texts, as arrays in bytes: texts themselves stay in the tasks."""
+
+    def packed(array: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        np.save(out, array, allow_pickle=False)
+        return out.getvalue()
+
+    for batch in batches:
+        made = []
+        for r in batch.to_pylist():
+            seed = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16)
+            found = [_window(text, values, seed) for text, values in _variants(r["text"] or "", seed)]
+            made += [(r["u"], i, packed(w[0]), packed(w[1])) for i, w in enumerate(found) if w]
+        columns = zip(*made, strict=True) if made else [[]] * 4
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["u", "i", "rows", "labels"])
+
+
+def drawn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
+    """(u, i, rows, labels): windows of at most ``fit_docs`` rows with a match and as many without, drawn by a hash of the whole
+    row, so that repeated or null ids are drawn apart."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("u", F.xxhash64("doc_id", "text", F.lit("secrets")))
+    match = F.col("text").rlike(MATCH)
+    least = [rows.filter(c).orderBy("u", "doc_id", "text").limit(fit_docs) for c in (match, ~match)]
+    return least[0].unionByName(least[1]).mapInArrow(_windows, "u bigint, i int, rows binary, labels binary")
+
+
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray]:
-    """The field's weights and transitions from a hash sample of ``docs(doc_id, text)``, about 2 * ``fit_docs`` texts."""
-    u = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(SPREAD))
-    marked = staged(docs.select("doc_id", F.coalesce("text", F.lit("")).rlike(SIGN).alias("sign"), u.alias("u")), "signs")
-    sizes = {r["sign"]: r["n"] for r in marked.groupBy("sign").agg(F.count("*").alias("n")).collect()}
-    share = {k: int(SPREAD * min(1.0, fit_docs / max(sizes.get(k, 0), 1))) for k in (True, False)}
-    chosen = F.coalesce("text", F.lit("")).rlike(SIGN)
-    sample = docs.select("doc_id", "text").filter(u < max(share.values())).filter(F.when(chosen, u < share[True]).otherwise(u < share[False]))
-    rows = sample.orderBy("doc_id", "text").collect() if sizes.get(True) else []
-    found = []
-    for r in rows:
-        seed = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:8], 16)
-        found += [_window(text, values, seed) for text, values in _variants(r["text"] or "", seed)]
-    return fit([w for w in found if w])
+    """The field's weights and transitions from :func:`drawn` windows of ``docs(doc_id, text)``."""
+    unpacked = lambda data: np.load(io.BytesIO(data), allow_pickle=False)
+    found = sorted(((r.u, r.i, bytes(r.rows), bytes(r.labels)) for r in drawn(docs, fit_docs).collect()))
+    windows = [(unpacked(rows), unpacked(labels)) for _, _, rows, labels in found]
+    return fit(windows if any(labels.any() for _, labels in windows) else [])
 
 
 def _scan(weights: np.ndarray, step: np.ndarray):

@@ -85,3 +85,10 @@ def test_the_field_finds_secrets_that_no_pattern_names(make_docs):
         spans = [s.split(":") for s in got[850 + i].spans.split(",") if s]
         found += any(k == "crf" and t[int(a) : int(b)] == t.split('"')[1] for k, a, b in spans)
     assert found >= 16 and sum(got[i].n_crf for i in range(850)) <= 8
+
+
+def test_rows_of_one_id_are_drawn_apart_and_bounded(spark):
+    rows = [(None, f"text {i} and the word token in prose") for i in range(3000)] + [(None, f"password = abcdef{i} here") for i in range(500)] + [(7, "api_key: zzzzzzzz same row")] * 300
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    found = secrets.drawn(docs, 50).collect()
+    assert len(found) <= 50 * 2 + 50 and len({r.u for r in found}) > 60
