@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hanok.functions.months import ym_of_date
 from hanok.registry import query
 from hanok.session import scratch_path
+from hanok.streaming import cancellations as cn
 from hanok.streaming import trades as tr
 
 
@@ -53,3 +54,14 @@ def streamed_cancellations(star):
     key = ["complex_id", "date"]
     tr.write_updates(tr.active_trades(rows, key), path, scratch_path(star.spark, "cp")).awaitTermination()
     return tr.latest(star.spark.read.option("basePath", path).parquet(path), key)
+
+
+@query("paired_cancellations", "T3", """SELECT l_suppkey AS complex_id, count(*) FILTER (l_returnflag <> 'R') AS disclosed, count(*) FILTER (l_returnflag = 'R') AS cancelled,
+  greatest(0, count(*) FILTER (l_returnflag <> 'R') - count(*) FILTER (l_returnflag = 'R')) AS active FROM lineitem GROUP BY 1""")
+def paired_cancellations(star):
+    """Kept as state that timers end; the delay spans the whole table, as its rows arrive in no order of time."""
+    path = scratch_path(star.spark, "stream-paired")
+    rows = _stream(star, "lineitem").select(F.col("l_suppkey").alias("complex_id"), "l_shipdate", (F.col("l_returnflag") == "R").alias("cancelled"))
+    changes = cn.paired(rows, ["complex_id"], "l_shipdate", delay="9000 days")
+    cn.write_changes(changes, path, scratch_path(star.spark, "cp")).awaitTermination()
+    return cn.totals(star.spark.read.option("basePath", path).parquet(path), ["complex_id"])
