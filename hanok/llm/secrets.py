@@ -278,9 +278,12 @@ def drawn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
     """(u, i, rows, labels): windows of at most ``fit_docs`` rows with a match and as many without, drawn by a hash of the whole
     row, so that repeated or null ids are drawn apart."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("u", F.xxhash64("doc_id", "text", F.lit("secrets")))
-    match = F.col("text").rlike(MATCH)
-    least = [rows.filter(c).orderBy("u", "doc_id", "text").limit(fit_docs) for c in (match, ~match)]
-    return least[0].unionByName(least[1]).mapInArrow(_windows, "u bigint, i int, rows binary, labels binary")
+    # the smallest hashes are found among hashes; only their rows' texts travel, one of equal ones
+    marked = staged(rows.select("u", F.col("text").rlike(MATCH).alias("match")), "matches")
+    least = [marked.filter(c).select("u").distinct().orderBy("u").limit(fit_docs) for c in ("match", "not match")]
+    few = F.broadcast(least[0].unionByName(least[1]))  # 2 * fit_docs hashes
+    chosen = rows.join(few, "u", "left_semi").dropDuplicates(["u"])
+    return chosen.mapInArrow(_windows, "u bigint, i int, rows binary, labels binary")
 
 
 def learn(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, np.ndarray]:
