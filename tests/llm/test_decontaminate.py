@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hanok.llm import decontaminate
 
@@ -122,3 +123,52 @@ def test_short_masks_equal_brute_force(spark, benchmark):
     rows = spark.createDataFrame(docs, "doc_id bigint, text string")
     got = sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in decontaminate.overlaps(rows, table).collect())
     assert got == brute(docs, short)
+
+
+@pytest.fixture
+def phrased():
+    """Documents and items that share a phrase of seven words, a few of which overlap."""
+    phrase = "which of the following is true about"
+    own = lambda kind, k: " ".join(f"{kind}{k}x{j}" for j in range(12))
+    items = [(k, f"{phrase} {own('item', k)}") for k in range(60)]
+    docs = [(k, f"{own('lead', k)} {phrase} {own('doc', k)}") for k in range(200)]
+    for k in range(0, 200, 10):
+        words_of = items[k % 60][1].split()
+        words_of[k % 9] = "other"
+        words_of[9 + k % 3] = "another"
+        docs[k] = (k, f"so {' '.join(words_of[: 13 + k % 4])} it is")
+    return docs, items
+
+
+def test_common_phrases_align_no_more_than_may_overlap(spark, phrased):
+    docs, items = phrased
+    rows = spark.createDataFrame(docs, "_row bigint, text string").select("_row", decontaminate._hashed(F.col("text")).alias("hashes"))
+    hashed = spark.createDataFrame(items, "item_key bigint, text string").select("item_key", decontaminate._hashed(F.col("text")).alias("hashes"))
+    count = lambda **more: decontaminate.alignments(rows, hashed, decontaminate.MASKS, 13, 0.8, **more).count()
+    assert count(crowd=10**9) > 180 * 60
+    assert count() <= 60
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute(docs, items)
+    assert len({w[:2] for w in want}) >= 15
+    for more in ({}, {"most_seeds": 0}, {"crowd": 0}):
+        got = sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in decontaminate.overlaps(documents, table, **more).collect())
+        assert got == want
+
+
+def test_many_rows_without_an_id_keep_their_alignments_apart(spark, phrased):
+    docs, items = phrased
+    documents = spark.createDataFrame([(None, t) for _, t in docs], "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.overlaps(documents, table).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(None, w[1]) for w in brute(docs, items)}
+    assert decontaminate.clean(documents, table).count() == 0
+
+
+def test_crowded_short_items_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    some = lambda n: " ".join(rng.choice(list("abcd"), n))
+    items = list(enumerate(dict.fromkeys(some(n) for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16) * 4)))
+    docs = [(k, some(25)) for k in range(30)]
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), crowd=0)
+    assert sorted((r.doc_id, r.item_id, r.doc_start, r.item_start, r.n_equal) for r in got.collect()) == brute(docs, items)
