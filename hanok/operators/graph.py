@@ -54,6 +54,30 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, limit: float, hops: int =
         known = cut(best(known.unionByName(frontier)))
 
 
+def routes(paths: DataFrame, goals: DataFrame) -> DataFrame:
+    """The nodes from a source's entry to each of its goals: ``goals(source, goal, node)`` with ``nodes ARRAY``, entry first.
+
+    ``paths(source, node, prev)`` as :func:`bounded_paths` gives it. Pointers are doubled: round ``k`` knows the node
+    ``2^k`` steps back. A goal then takes the doubled pointers from the longest down, each time every row of its route
+    adding the one ``2^k`` steps before it, so a route of any length is complete after as many joins as its length has
+    bits. Rows stay narrow; a list is only built at the end, one per goal and no longer than its route.
+    """
+    jumps = [settled(paths.filter("prev is not null").select("source", "node", F.col("prev").alias("back")))]
+    while True:
+        far = jumps[-1]
+        onward = far.select("source", F.col("node").alias("back"), F.col("back").alias("_next"))
+        doubled = settled(far.join(onward, ["source", "back"]).select("source", "node", F.col("_next").alias("back")))
+        if doubled.isEmpty():
+            break
+        jumps.append(doubled)
+    rows = goals.select("source", "goal", "node", F.lit(0).cast("bigint").alias("step"))
+    for k in reversed(range(len(jumps))):
+        before = rows.join(jumps[k], ["source", "node"]).select("source", "goal", F.col("back").alias("node"), (F.col("step") + 2**k).alias("step"))
+        rows = rows.unionByName(before)
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("step")).alias("at"), "node")))
+    return rows.groupBy("source", "goal").agg(F.transform(listed, lambda s: s["node"]).alias("nodes"))
+
+
 def connected_groups(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``group_id`` (smallest id) of every node ``id`` under the undirected ``links(a, b)``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hanok.functions import fixed_values as fv
 from hanok.functions.places import along_segment, segment_distance
 from hanok.operators.graph import connected_groups
+from hanok.session import settled
 
 
 def cell(x, size: float) -> Column:
@@ -125,3 +126,58 @@ def merge_same_name(points: DataFrame, limit: float = fv.MERGE_STATION_M) -> Dat
     )
 
 
+
+
+def merge_in_order(points: DataFrame, limit: float = fv.MERGE_STATION_M, order: str = "id") -> DataFrame:
+    """Merge points of one name as they come: a point joins the first group of its name founded less than ``limit`` from
+    it, else the group that was founded in its 0.01 degree cell, else it founds a group.
+
+    ``points(id, name, x, y, lon, lat)`` and the unique ``order`` gain ``group_id``, the id of the founder; distances are
+    measured to founders only. Founders are found in parallel rounds: an open point founds once it is the first open point
+    of its degree cell and of all cells (diagonal below ``limit``) that a point near it may lie in, as every earlier point
+    that could take it in has then been decided; a founder closes the open points around it. Rounds keep to minima per
+    cell and at most one founder per cell, never to pairs of points. A round decides the first open point of every
+    neighbourhood, so their number follows the longest chain of points that wait for each other. Ties of the degree cell
+    are rounded half to even on the written digits. Rows without a place are groups of their own.
+    """
+    side = limit / 1.4143
+    fine, coarse = ["name", "cx", "cy"], ["name", "bx", "by"]
+    placed = settled(points.select(
+        F.col("id"), F.col(order).alias("at"), F.coalesce("name", F.lit("")).alias("name"), "x", "y", cell("x", side).alias("cx"), cell("y", side).alias("cy"),
+        F.bround("lon", 2).alias("bx"), F.bround("lat", 2).alias("by"),
+    ).filter("x is not null and y is not null and lon is not null and lat is not null"))
+    reach = F.array(*[F.lit(d) for d in range(-2, 3)])
+
+    def spread(df: DataFrame) -> DataFrame:
+        """Every row once for each cell around its own, as (ox, oy)."""
+        wide = df.select("*", F.explode(F.transform(reach, lambda d: F.col("cx") + d)).alias("ox"))
+        return wide.select("*", F.explode(F.transform(reach, lambda d: F.col("cy") + d)).alias("oy"))
+
+    def around(founders: DataFrame) -> DataFrame:
+        f = founders.select("name", "cx", "cy", *[F.col(c).alias(f"f_{c}") for c in ("id", "at", "x", "y")])
+        return spread(f).drop("cx", "cy").withColumnsRenamed({"ox": "cx", "oy": "cy"})
+
+    def near(x="f_x", y="f_y") -> Column:
+        dx, dy = F.col("x") - F.col(x), F.col("y") - F.col(y)
+        return F.sqrt(dx * dx + dy * dy) < limit
+
+    everything, opened, found = ["id", "at", *fine, "x", "y", "bx", "by"], placed, None
+    while True:
+        first = opened.groupBy(*fine).agg(F.min(F.struct("at", "id", "x", "y", "bx", "by")).alias("p")).select(*fine, "p.*")
+        cells = first.select("name", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("at").alias("_other"))
+        earliest = spread(first.select(*fine)).join(cells, ["name", "ox", "oy"]).groupBy(*fine).agg(F.min("_other").alias("_near"))
+        own = opened.groupBy(*coarse).agg(F.min("at").alias("_cell"))
+        new = settled(first.join(earliest, fine).join(own, coarse).filter((F.col("at") <= F.col("_near")) & (F.col("at") <= F.col("_cell"))).select(*everything))
+        if new.isEmpty():
+            break
+        found = new if found is None else found.unionByName(new)
+        closed = opened.join(around(new), fine).filter(near()).select("id").unionByName(opened.join(new.select(*coarse), coarse).select("id")).distinct()
+        opened = settled(opened.join(closed, "id", "left_anti").select(*everything))
+    if found is None:
+        return points.withColumn("group_id", F.col("id"))
+    found = settled(found)
+    by_place = placed.join(around(found), fine).filter(near() & (F.col("f_at") <= F.col("at"))).groupBy("id").agg(F.min_by("f_id", "f_at").alias("_place"))
+    by_cell = found.select(*coarse, F.col("id").alias("_cell"))
+    groups = placed.select("id", *coarse).join(by_place, "id", "left").join(by_cell, coarse, "left")
+    chosen = groups.select("id", F.coalesce("_place", "_cell").alias("_group"))
+    return points.join(chosen, "id", "left").select(*points.columns, F.coalesce("_group", "id").alias("group_id"))

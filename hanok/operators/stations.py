@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
+from hanok.functions.geodesy import OFFICIAL_GRID, Grid, grid_lonlat
 from hanok.functions.places import line_labels, live_station, tag_name
 
 
@@ -90,6 +91,12 @@ def endpoints(grouped: DataFrame, gates: DataFrame) -> DataFrame:
     return with_gate.unionByName(bare.select("group_id", F.col("id").alias("endpoint"), "lon", "lat", F.lit("station_point").alias("endpoint_type")))
 
 
+def official_points(rows: DataFrame, grid: Grid = OFFICIAL_GRID) -> DataFrame:
+    """(complex_id, lon, lat) of official points ``rows(complex_id, x, y)`` given in the grid of their register."""
+    at = rows.select("complex_id", grid_lonlat(F.col("x").cast("double"), F.col("y").cast("double"), grid).alias("_p"))
+    return at.select("complex_id", F.col("_p.lon").alias("lon"), F.col("_p.lat").alias("lat"))
+
+
 def choose_coordinates(complexes: DataFrame, official: DataFrame, box=fv.COORDINATE_BOX) -> DataFrame:
     """Official point if it lies in the box, else the known one, else none: lon, lat and where they come from."""
     o = official.select("complex_id", F.col("lon").alias("_olon"), F.col("lat").alias("_olat"))
@@ -111,7 +118,8 @@ def reach(paths: DataFrame, ends: DataFrame, limit: float = fv.WALK_LIMIT_M, spe
     """Walk from each source to each station: shortest over its endpoints, whole metres up, still within the limit.
 
     ``paths(source, node, dist)`` and ``ends(station, endpoint, node, dist)``; the limit holds for path and last leg
-    together, and again for the rounded-up distance.
+    together, and again for the rounded-up distance. ``node`` is where the last leg leaves the network, ``exact_m`` the
+    length before rounding.
     """
     tail = ends.select("station", "endpoint", "node", F.col("dist").alias("tail"))
     hits = paths.join(tail, "node").withColumn("total", F.col("dist") + F.col("tail")).filter(F.col("total") <= limit)
@@ -120,6 +128,7 @@ def reach(paths: DataFrame, ends: DataFrame, limit: float = fv.WALK_LIMIT_M, spe
     out = best.select(
         "source", "station", metres.alias("distance_m"),
         F.bround(F.col("m.total") / speed, 1).alias("minutes"), F.col("m.endpoint").alias("endpoint"),
+        F.col("m.node").alias("node"), F.col("m.total").alias("exact_m"),
     )
     return out.filter(F.col("distance_m") <= limit)
 

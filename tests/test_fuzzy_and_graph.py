@@ -150,6 +150,66 @@ def test_same_name_stations_merge_within_600_metres(spark):
     assert {v for k, v in got.items() if k >= 100} == {100}
 
 
+def in_order(rows, limit=600.0):
+    """Groups formed one point after the other, as a loop."""
+    founders, got = [], {}
+    for i, name, x, y, lon, lat in sorted(rows):
+        spot = (name, round(lon, 2), round(lat, 2))
+        near = [f for f in founders if f[1] == name and math.hypot(x - f[2], y - f[3]) < limit]
+        near = near or [f for f in founders if f[4] == spot]
+        if not near:
+            founders.append((i, name, x, y, spot))
+            near = founders[-1:]
+        got[i] = near[0][0]
+    return got
+
+
+def placed_points(xy, names=("당산",)):
+    return [(i, names[i % len(names)], x, y, 126.7001 + x / 88000.0, 37.0001 + y / 111000.0) for i, (x, y) in enumerate(xy)]
+
+
+@pytest.mark.parametrize("shape", ["chain", "back", "crowd", "cell"])
+def test_stations_merge_in_the_order_they_come(spark, shape):
+    rng = random.Random(shape)
+    if shape == "chain":  # every point waits for the one before it
+        rows = placed_points([(i * 350.0, 0.0) for i in range(24)])
+    elif shape == "back":
+        rows = placed_points([((24 - i) * 550.0, i % 3 * 200.0) for i in range(24)])
+    elif shape == "crowd":
+        rows = placed_points([(rng.uniform(0, 5000), rng.uniform(0, 5000)) for _ in range(400)], ("당산", "합정", "서울"))
+    else:  # far apart within one degree cell, with a later founder nearer than the cell's
+        rows = placed_points([(10.0, 10.0), (800.0, 10.0), (800.0, 990.0), (400.0, 500.0), (1390.0, 500.0), (10.0, 10.0)])
+    points = spark.createDataFrame(rows, "id bigint, name string, x double, y double, lon double, lat double")
+    assert {r.id: r.group_id for r in spatial.merge_in_order(points).collect()} == in_order(rows)
+
+
+def test_points_without_a_place_are_groups_of_their_own(spark):
+    schema = "id bigint, name string, x double, y double, lon double, lat double"
+    points = spark.createDataFrame([(1, "당산", None, 1.0, None, 37.0), (2, "당산", 1.0, 1.0, 126.9, 37.0), (3, "당산", 2.0, 1.0, 126.9, 37.0), (4, None, 1.0, 1.0, 126.9, 37.0)], schema)
+    assert {r.id: r.group_id for r in spatial.merge_in_order(points).collect()} == {1: 1, 2: 2, 3: 2, 4: 4}
+    assert spatial.merge_in_order(points.limit(0)).count() == 0
+
+
+def test_routes_are_whole_paths_of_the_stated_length(spark):
+    rng = random.Random(11)
+    edges = {}
+    for _ in range(260):
+        a, b = sorted(rng.sample(range(90), 2))
+        edges[a, b] = round(rng.uniform(10, 120), 1)
+    edges.update({(200 + i, 201 + i): 3.0 for i in range(50)})  # a long chain: 50 steps back
+    table = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a bigint, b bigint, length double")
+    starts = spark.createDataFrame([("s", 1, 5.0), ("s", 2, 9.0), ("t", 200, 0.0)], "source string, node bigint, dist double")
+    paths = graph.bounded_paths(starts, table, 300.0).cache()
+    goals = paths.select("source", F.col("node").alias("goal"), "node")
+    got = graph.routes(paths, goals).collect()
+    want = {(r.source, r.node): r.dist for r in paths.collect()}
+    first = {("s", 1): 5.0, ("s", 2): 9.0, ("t", 200): 0.0}
+    assert len(got) == len(want) and len(next(r.nodes for r in got if r.goal == 250)) == 51
+    for r in got:
+        length = first[r.source, r.nodes[0]] + sum(edges[min(p), max(p)] for p in zip(r.nodes, r.nodes[1:], strict=False))
+        assert r.nodes[-1] == r.goal and length == pytest.approx(want[r.source, r.goal])
+
+
 def test_walk_guards(spark):
     c = spark.createDataFrame([("A1",), ("A2",)], "complex_id string")
     links = spark.createDataFrame([("A1", "linked")], "complex_id string, status string")
@@ -192,6 +252,8 @@ def test_station_links_end_to_end(spark):
     walks = {(r.complex_id, r.station): (r.distance_m, r.lines) for r in out.tables["walks"].collect()}
     assert set(walks) == {("near", "당산역")}
     metres, lines = walks[("near", "당산역")]
+    walk = out.tables["walks"].first()
+    assert walk.route_nodes in (list(range(7)), [1, 2, 3, 4, 5, 6]) and abs(walk.start_connector_m - 20) < 0.2 and abs(walk.end_connector_m - 10) < 0.2
     assert lines == ["2"] and abs(metres - 631) <= 2
     status = {r.complex_id: r.status for r in out.tables["links"].collect()}
     assert status == {"near": "linked", "far": "walk_network_unconnected", "none": "coordinate_unconfirmed"}
