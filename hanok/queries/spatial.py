@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hanok.functions import geodesy as gd
 from hanok.functions import places as pl
 from hanok.operators import enrich as en
 from hanok.operators import graph, spatial
@@ -72,6 +73,30 @@ def plane_points(star):
     return out.select("c_custkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+def _terms(numbers, angle, fn, wide=None, wide_fn=None):
+    parts = [f"{c!r} * {fn}({2 * (j + 1)} * {angle})" + (f" * {wide_fn}({2 * (j + 1)} * {wide})" if wide else "") for j, c in enumerate(numbers)]
+    return " + ".join(parts)
+
+
+_N, _E = gd.GRS80.n, gd.GRS80.e
+_R = gd.NATIONAL_GRID.scale * gd.GRS80.rectifying_radius
+GRID = f"""WITH p AS (SELECT c_custkey, 126.5 + c_custkey % 97 / 97.0 AS lon, 36.9 + c_custkey % 89 / 89.0 AS lat FROM customer),
+c AS (SELECT *, radians(lon - 127.5) AS l, sinh(atanh(sin(radians(lat))) - {_E!r} * atanh({_E!r} * sin(radians(lat)))) AS t FROM p),
+a AS (SELECT *, atan2(t, cos(l)) AS xi, atanh(sin(l) / sqrt(1 + t * t)) AS eta FROM c)
+SELECT c_custkey, round(1000000.0 + {_R!r} * (eta + {_terms(gd._forward_terms(_N), 'xi', 'cos', 'eta', 'sinh')}), 4) AS x,
+  round(2000000.0 + {_R!r} * (xi + {_terms(gd._forward_terms(_N), 'xi', 'sin', 'eta', 'cosh')} - {gd._origin(gd.NATIONAL_GRID)!r}), 4) AS y, round(lon, 8) AS lon, round(lat, 8) AS lat FROM a"""
+
+
+@query("grid_points", "N2 J17", GRID)
+def grid_points(star):
+    """Into the national grid and back."""
+    k = F.col("c_custkey")
+    df = star.table("customer").select("c_custkey", (F.lit(126.5) + k % 97 / F.lit(97.0)).alias("lon"), (F.lit(36.9) + k % 89 / F.lit(89.0)).alias("lat"))
+    there = df.select("c_custkey", gd.grid_point("lon", "lat").alias("p"))
+    back = there.select("c_custkey", "p", gd.grid_lonlat(F.col("p.x"), F.col("p.y")).alias("q"))
+    return back.select("c_custkey", *[F.round(f"p.{c}", 4).alias(c) for c in "xy"], *[F.round(f"q.{c}", 8).alias(c) for c in ("lon", "lat")])
+
+
 SNAPPED = f"""{CORNERS}, {HOUSES}, pairs AS (SELECT complex_id, h.x, h.y, a, b, length, greatest(0.0, least(1.0, ((h.x - ax) * (ex - ax) + (h.y - ay) * (ey - ay)) / (length * length))) AS t, ax, ay, ex, ey FROM house h, edge),
 near AS (SELECT complex_id, a, b, length, t, sqrt((x - (ax + t * (ex - ax))) ** 2 + (y - (ay + t * (ey - ay))) ** 2) AS connector FROM pairs),
 snapped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY complex_id ORDER BY round(connector, 6), a, b) AS n FROM near WHERE connector <= 150) WHERE n = 1)"""
@@ -116,6 +141,24 @@ def station_reach(star):
     return _reach(star).select("source", "station", "distance_m")
 
 
+@query("station_routes", "N5", f"""WITH {REACH} SELECT source, station, round(total, 4) AS metres FROM hit WHERE ceil(round(total, 6)) <= 1300""")
+def station_routes(star):
+    """The length of every walk, measured again along the edges of its route."""
+    edges, paths = _paths(star)
+    ends = _corners(star).filter("seg = 'MACHINERY'").select(F.col("id").alias("station"), F.col("id").alias("endpoint"), F.col("id").alias("node"), F.lit(12.5).alias("dist"))
+    goals = st.reach(paths, ends).select("source", F.col("station").alias("goal"), "node")
+    routes = graph.routes(paths, goals).withColumn("first", F.get("nodes", F.lit(0)))
+    n = F.col("nodes")
+    steps = F.arrays_zip(F.slice(n, F.lit(1), F.size(n) - 1).alias("u"), F.slice(n, F.lit(2), F.size(n) - 1).alias("v"))
+    walked = routes.filter(F.size(n) > 1).select("source", "goal", F.explode(steps).alias("s")).select(
+        "source", "goal", F.least("s.u", "s.v").alias("a"), F.greatest("s.u", "s.v").alias("b")
+    )
+    along = walked.join(edges, ["a", "b"]).groupBy("source", "goal").agg(F.sum("length").alias("along"), F.count("*").alias("known"))
+    entry = spatial.starts(spatial.snap(_houses(star), edges, 150), "complex_id").groupBy(F.col("complex_id").alias("source"), F.col("node").alias("first")).agg(F.min("dist").alias("dist"))
+    whole = routes.join(entry, ["source", "first"]).join(along, ["source", "goal"], "left").filter(F.coalesce("known", F.lit(0)) == F.size(n) - 1)
+    return whole.select("source", F.col("goal").alias("station"), F.round(F.col("dist") + F.coalesce("along", F.lit(0.0)) + 12.5, 4).alias("metres"))
+
+
 @query("link_status", "C3 A16", f"""WITH {REACH} SELECT s_suppkey AS complex_id, CASE WHEN s_acctbal < 0 THEN 'coordinate_unconfirmed' WHEN s_suppkey NOT IN (SELECT complex_id FROM snapped) THEN 'walk_network_unconnected'
   WHEN s_suppkey NOT IN (SELECT source FROM hit WHERE ceil(round(total, 6)) <= 1300) THEN 'no_reachable_station_within_1300m' ELSE 'linked' END AS status FROM supplier""")
 def link_status(star):
@@ -147,6 +190,26 @@ def merged_stations(star):
     return spatial.merge_same_name(p).select("id", "group_id")
 
 
+IN_ORDER = """WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id) AS n, round(126.7001 + x / 88000.0, 2) AS bx, round(37.0001 + y / 111000.0, 2) AS by FROM
+  (SELECT c_custkey AS id, '역' || c_nationkey AS name, CAST(c_custkey % 40 * 110 AS DOUBLE) AS x, CAST(c_custkey // 40 * 130 AS DOUBLE) AS y FROM customer)),
+s(name, n, heads, id, group_id) AS (SELECT DISTINCT name, CAST(0 AS BIGINT), CAST([] AS STRUCT(id BIGINT, x DOUBLE, y DOUBLE, bx DOUBLE, "by" DOUBLE)[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM p
+  UNION ALL SELECT name, n, CASE WHEN hit IS NULL THEN list_append(heads, {'id': CAST(id AS BIGINT), 'x': x, 'y': y, 'bx': bx, 'by': "by"}) ELSE heads END, CAST(id AS BIGINT), coalesce(hit, CAST(id AS BIGINT)) FROM (
+    SELECT p.*, s.heads, coalesce(list_filter(s.heads, lambda h: sqrt((h.x - p.x) ** 2 + (h.y - p.y) ** 2) < 600)[1].id, list_filter(s.heads, lambda h: h.bx = p.bx AND h."by" = p."by")[1].id) AS hit
+    FROM s JOIN p ON p.name = s.name AND p.n = s.n + 1))
+SELECT id, group_id FROM s WHERE n > 0"""
+
+
+@query("stations_in_order", "J16", IN_ORDER)
+def stations_in_order(star):
+    k = F.col("c_custkey")
+    p = star.table("customer").select(
+        k.cast("bigint").alias("id"), F.concat(F.lit("역"), F.col("c_nationkey").cast("string")).alias("name"),
+        (k % 40 * 110).cast("double").alias("x"), (F.floor(k / 40) * 130).cast("double").alias("y"),
+    )
+    p = p.withColumn("lon", F.lit(126.7001) + F.col("x") / 88000.0).withColumn("lat", F.lit(37.0001) + F.col("y") / 111000.0)
+    return spatial.merge_in_order(p).select("id", "group_id")
+
+
 def _rail(star):
     """Station nodes, entrances and stop positions from customers; a route or a stop area from each of some orders."""
     k, n = F.col("c_custkey"), F.col("c_nationkey")
