@@ -1,6 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence meet in one posterior per row, languages being ``LANGUAGES`` and ``und`` (none of them):
+Four kinds of evidence meet in one posterior per row, languages being those that the rows declare and ``und`` (none of them).
+A declared code of two or three letters is a language if at least ``LEAST_SHARE`` of the rows that declare one and hold a
+letter declare it, so there are at most ``1 / LEAST_SHARE`` languages and the model's size is bounded:
 
 - the text: hashed byte trigrams under one distribution per language, learnt from all rows by their declared language
   (``und`` is the uniform distribution); trigrams overlap, so their log-likelihood counts a third;
@@ -12,8 +14,8 @@ Four kinds of evidence meet in one posterior per row, languages being ``LANGUAGE
 Trigram counts are summed per task into one fixed table; model and priors cover every row of the input. Scores go to a
 narrow staged table, so texts are read twice and never shuffled. Hosts are joined by an equi-join on narrow rows.
 
-Defined cases: a text without letters (null and empty ones included) has language ``und``, confidence 1, and is rejected;
-so is a text for which no language reaches ``ACCEPT``. A null or unknown declared language is no evidence; a null host
+Defined cases: where no row declares a language, every row is ``und``, confidence 1, and rejected. A text without letters (null and empty ones included) has language ``und``, confidence 1, and is rejected;
+so is a text for which no language reaches ``ACCEPT``. A null, unknown or too rare declared language is no evidence; a null host
 shares the prior of the empty host. Long texts are scored whole. Repeated rows get equal results unless they share a
 host's sums with themselves. Extra columns play no part. An empty table gives an empty result.
 """
@@ -30,8 +32,11 @@ from pyspark.sql import functions as F
 from hanok.llm.columnar import LOWERED, blocks, text_bytes
 from hanok.llm.tables import staged
 
-LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
+#: Codes that name no language, and the least share of the declaring rows that makes a code a language.
+NO_LANGUAGE, LEAST_SHARE = ("mis", "mul", "und", "zxx"), 1 / 200
+#: A character that has letters in its bytes: anything but the ASCII characters that are none.
+LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
 BUCKETS, ALPHA, TEMPER = 1 << 15, 0.5, 1 / 3
 #: Strength of the level above in a prior, of the uniform part in declarations, prior of ``und``, least posterior.
 DRAW, DECLARED_DRAW, UNKNOWN_PRIOR, ACCEPT = 5.0, 2.0, 0.02, 0.5
@@ -71,7 +76,15 @@ def _counts(languages: Sequence[str]):
     return run
 
 
-def text_model(rows: DataFrame, languages: Sequence[str] = LANGUAGES) -> np.ndarray:
+def declared_languages(rows: DataFrame, least: float = LEAST_SHARE) -> list[str]:
+    """The languages of ``rows(text, declared)``, sorted: codes counted over all rows that hold a letter."""
+    code = F.col("declared").rlike("^[a-z]{2,3}$") & ~F.col("declared").isin(*NO_LANGUAGE)
+    counts = rows.filter(code & F.col("text").rlike(LETTER)).groupBy("declared").count().collect()  # at most 26^2 + 26^3 rows
+    total = sum(r["count"] for r in counts)
+    return sorted(r["declared"] for r in counts if r["count"] >= least * total)
+
+
+def text_model(rows: DataFrame, languages: Sequence[str]) -> np.ndarray:
     """Log-probability of each bucket by language, ``und`` last; at most languages x buckets numbers come to the driver."""
     sums = rows.mapInArrow(_counts(languages), "kind int, bucket int, n bigint").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     found = sums.toPandas()
@@ -138,11 +151,19 @@ def _fuse(said: np.ndarray, share: np.ndarray, languages: Sequence[str], accept:
     return run
 
 
-def identify(rows: DataFrame, languages: Sequence[str] = LANGUAGES, accept: float = ACCEPT) -> DataFrame:
-    """(doc_id, language, confidence, accepted, text_language, letters), one row per row of ``rows(doc_id, text, declared, host)``."""
+def identify(rows: DataFrame, languages: Sequence[str] | None = None, accept: float = ACCEPT) -> DataFrame:
+    """(doc_id, language, confidence, accepted, text_language, letters), one row per row of ``rows(doc_id, text, declared, host)``.
+
+    ``languages`` are those that the rows declare (:func:`declared_languages`) unless they are given.
+    """
     host = F.lower(F.coalesce(F.col("host").cast("string"), F.lit("")))
     declared = F.split(F.lower(F.trim(F.col("declared").cast("string"))), "[-_]")[0]
     narrow = rows.select("doc_id", F.col("text").cast("string").alias("text"), declared.alias("declared"), host.alias("host"))
+    languages = declared_languages(narrow) if languages is None else list(languages)
+    if not languages:
+        letters = F.octet_length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("bigint")
+        und = F.lit(UNKNOWN)
+        return narrow.select("doc_id", und.alias("language"), F.lit(1.0).alias("confidence"), F.lit(False).alias("accepted"), und.alias("text_language"), letters.alias("letters"))
     narrow = narrow.withColumn("declared", F.when(F.col("declared").isin(*languages), F.col("declared")))
     names = [f"s{i}" for i in range(len(languages) + 1)]
     id_type, n = dict(narrow.dtypes)["doc_id"], len(languages)
