@@ -16,6 +16,7 @@ from hanok.session import cut
 GRAM = 4  # a contained name counts from this length on
 SITE = ["region", "dong", "land_kind", "parcel", "build_year"]
 KEY = [*SITE, "trade_name"]
+REQUEST = ["code", "dong_code"]
 
 
 def effective_dong(disclosed, eup_scope, eup_name, canonical_dong) -> Column:
@@ -96,62 +97,70 @@ def catalogue_names(complexes: DataFrame) -> DataFrame:
     )
 
 
-def resolve(keys: DataFrame, complexes: DataFrame) -> DataFrame:
+def resolve(keys: DataFrame, complexes: DataFrame, plan: DataFrame | None = None) -> DataFrame:
     """Match distinct keys in four steps, each by an equi-join, each only where exactly one complex fits.
 
     1 same parcel and year, equal name; 2 same parcel and year, one name inside the other (from four letters on);
     3 same parcel and year, equal up to place prefix, village and phase words; 4 same dong and year, equal canonical
     name of six letters or more, where one of the two sources has no parcel. Step 2 joins on the first four letters of
     the shorter name against the four-letter runs of the longer, so unrelated names of one parcel never meet.
+    With ``plan(code, dong_code, complex_id)`` a key also holds the request that returned it, and only the complexes of
+    that request are candidates: two districts of one city may have a dong of the same name.
     """
-    names = cut(catalogue_names(complexes))
+    names = catalogue_names(complexes)
+    request = [] if plan is None else REQUEST
+    if plan is not None:
+        names = names.join(plan.select(*REQUEST, "complex_id").distinct(), "complex_id")
+    site, key = [*request, *SITE], [*request, *KEY]
+    names = cut(names)
     # names and probe are written once: every step below starts from them
-    lots = names.select("complex_id", "region", "dong", "build_year", F.explode("metadata_parcels").alias("p"), "n", "k")
+    lots = names.select("complex_id", *request, "region", "dong", "build_year", F.explode("metadata_parcels").alias("p"), "n", "k")
     lots = lots.select("*", F.col("p.kind").alias("land_kind"), F.col("p.parcel").alias("parcel")).drop("p")
-    probe = cut(keys.select(*KEY).filter("parcel is not null").distinct())
+    probe = cut(keys.select(*key).filter("parcel is not null").distinct())
 
-    exact = _only(probe.join(lots.withColumnRenamed("n", "trade_name"), KEY), KEY, "exact_id")
+    exact = _only(probe.join(lots.withColumnRenamed("n", "trade_name"), key), key, "exact_id")
 
     def runs(text):
         last = F.greatest(F.length(text) - GRAM, F.lit(0))
         return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(text, i + 1, F.lit(GRAM)))))
 
-    long_names = lots.filter(F.length("n") >= GRAM).select("complex_id", *SITE, "n")
+    long_names = lots.filter(F.length("n") >= GRAM).select("complex_id", *site, "n")
     long_probe = probe.filter(F.length("trade_name") >= GRAM)
     inside_alias = long_probe.withColumn("_g", F.substring("trade_name", 1, GRAM)).join(
-        long_names.withColumn("_g", runs(F.col("n"))), [*SITE, "_g"]
+        long_names.withColumn("_g", runs(F.col("n"))), [*site, "_g"]
     ).filter(F.contains("n", F.col("trade_name")))
     inside_trade = long_probe.withColumn("_g", runs(F.col("trade_name"))).join(
-        long_names.withColumn("_g", F.substring("n", 1, GRAM)), [*SITE, "_g"]
+        long_names.withColumn("_g", F.substring("n", 1, GRAM)), [*site, "_g"]
     ).filter(F.contains("trade_name", F.col("n")))
-    picked = [*KEY, "complex_id"]
-    contained = _only(inside_alias.select(*picked).unionByName(inside_trade.select(*picked)), KEY, "contained_id")
+    picked = [*key, "complex_id"]
+    contained = _only(inside_alias.select(*picked).unionByName(inside_trade.select(*picked)), key, "contained_id")
 
     keyed = probe.withColumn("k", name_key("trade_name", "region", "dong"))
-    equivalent = _only(keyed.join(lots.select("complex_id", *SITE, "k"), [*SITE, "k"]), KEY, "equivalent_id")
+    equivalent = _only(keyed.join(lots.select("complex_id", *site, "k"), [*site, "k"]), key, "equivalent_id")
 
     canon = probe.withColumn("c", canonical_name("trade_name", "region")).filter(F.length("trade_name") >= 6)
-    whole = names.select("complex_id", "region", "dong", "build_year", "c", (F.size("metadata_parcels") == 0).alias("_bare"))
-    fallback = canon.join(whole, ["region", "dong", "build_year", "c"]).filter((F.col("parcel") == "0") | F.col("_bare"))
-    missing = _only(fallback, KEY, "fallback_id")
+    whole = names.select("complex_id", *request, "region", "dong", "build_year", "c", (F.size("metadata_parcels") == 0).alias("_bare"))
+    fallback = canon.join(whole, [*request, "region", "dong", "build_year", "c"]).filter((F.col("parcel") == "0") | F.col("_bare"))
+    missing = _only(fallback, key, "fallback_id")
 
     out = probe
     for step in (exact, contained, equivalent, missing):
-        out = out.join(step, KEY, "left")
+        out = out.join(step, key, "left")
     first = F.coalesce("exact_id", "contained_id")
     method = (
         F.when(first.isNotNull(), "parcel_name_year")
         .when(F.col("equivalent_id").isNotNull(), "parcel_normalized_name_year")
         .when(F.col("fallback_id").isNotNull(), "exact_name_dong_year_missing_parcel")
     )
-    return cut(out.select(*KEY, F.coalesce(first, "equivalent_id", "fallback_id").alias("complex_id"), method.alias("method")))
+    return cut(out.select(*key, F.coalesce(first, "equivalent_id", "fallback_id").alias("complex_id"), method.alias("method")))
 
 
-def linked_contracts(contract_rows: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:
+def linked_contracts(contract_rows: DataFrame, complexes: DataFrame, start: str, end: str, plan: DataFrame | None = None) -> DataFrame:
     """Contracts of the period with their complex and ``outcome``. A cancelled sale leaves the lease of its row alone."""
     counted = contract_rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
     # keys are taken from all rows: that pass reads the key columns only
-    found = counted.join(resolve(contract_rows.select(*KEY).distinct(), complexes), KEY, "left")
+    key = KEY if plan is None else [*REQUEST, *KEY]
+    found = counted.join(resolve(contract_rows.select(*key).distinct(), complexes, plan), key, "left")
     outcome = (
         F.when(F.col("complex_id").isNull(), "unmatched")
         .when(F.col("cancelled"), "cancelled_sale")
@@ -171,6 +180,16 @@ def distinct_contracts(linked: DataFrame) -> DataFrame:
     return saved.dropDuplicates(SIGNATURE).select(*SIGNATURE, "ym", "legal_dong", "kind")
 
 
+def reason_counts(contract_rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """Contracts per side and reason: left out before linking, lost in linking, repeated disclosures, and saved ones."""
+    before = contract_rows.filter(F.col("excluded").isNotNull()).groupBy("side", F.col("excluded").alias("reason")).agg(F.count("*").alias("rows"))
+    after = linked.filter("outcome <> 'saved'").groupBy("side", F.col("outcome").alias("reason")).agg(F.count("*").alias("rows"))
+    lot = F.when(F.col("side") == "sale", F.col("parcel")).otherwise("")
+    same = linked.filter("outcome = 'saved'").withColumn("parcel", lot).groupBy(*SIGNATURE).agg((F.count("*") - 1).alias("again"))
+    kept = same.groupBy("side").agg(F.count("*").alias("saved"), F.sum("again").alias("duplicate_disclosed"))
+    return before.unionByName(after).unionByName(kept.unpivot(["side"], ["saved", "duplicate_disclosed"], "reason", "rows").filter("rows > 0"))
+
+
 def contract_guards(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """Responses that do not answer their request, unreadable dates, and bad numbers on linked contracts."""
     identified = rows.filter(F.coalesce(F.col("excluded") != "unidentified", F.lit(True)))

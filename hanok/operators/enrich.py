@@ -96,12 +96,8 @@ def eligible_type(kind, tenure) -> Column:
     return flat & ~rental_only
 
 
-def master_catalogue(rows: DataFrame, regions: Sequence[str], prior: DataFrame | None = None, least_households: int = 300) -> tuple[DataFrame, DataFrame]:
-    """City catalogue from the official list: region, size, type and tenure rules; parcels with their evidence.
-
-    Column names are the lower-case ones of the export. Returns the catalogue and the rows with unknown households,
-    which must stop the run.
-    """
+def _master_rows(rows: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """Rows of the official list that lie in one of the regions, by whichever names the export gives its columns."""
     def field(*names):
         present = [n for n in names if n in rows.columns]
         return first_nonblank(*present) if present else F.lit("")
@@ -115,7 +111,30 @@ def master_catalogue(rows: DataFrame, regions: Sequence[str], prior: DataFrame |
         completed(field("use_aprv_ymd", "kapt_usedate")).alias("completed"), field("daddr").alias("_detail"),
         field("apt_stdg_addr", "kapt_addr").alias("_standard"),
     )
-    base = base.withColumn("region", resolve_region(base, regions)).filter("region is not null")
+    return base.withColumn("region", resolve_region(base, regions)).filter("region is not null")
+
+
+def master_violations(rows: DataFrame, regions: Sequence[str]) -> DataFrame:
+    """What must stop a run over the official list: complexes without a code or a name, codes given twice, and household
+    counts that are no finite numbers (``nan`` and ``inf`` included)."""
+    from hanok.operators import guards
+
+    base = _master_rows(rows, regions)
+    blank = (F.col("complex_id") == "") | (F.col("official_name") == "")
+    return guards.all_of(
+        guards.violations(base, "blank_complex_code_or_name", blank, "region", F.concat_ws("/", "complex_id", "official_name")),
+        guards.duplicated(base.filter("complex_id <> ''"), ["complex_id"], "duplicate_complex_code"),
+        guards.violations(base, "unknown_households", F.col("_hh").isNull(), "complex_id", F.col("region")),
+    )
+
+
+def master_catalogue(rows: DataFrame, regions: Sequence[str], prior: DataFrame | None = None, least_households: int = 300) -> tuple[DataFrame, DataFrame]:
+    """City catalogue from the official list: region, size, type and tenure rules; parcels with their evidence.
+
+    Column names are the lower-case ones of the export. Returns the catalogue and the rows with unknown households,
+    which must stop the run (:func:`master_violations` tells all that must).
+    """
+    base = _master_rows(rows, regions)
     unknown = base.filter("_hh is null").select("complex_id", "region")
     evidence = parcel_evidence("_detail", "_standard", "region", "legal_dong")
     kept = base.filter(F.floor("_hh") >= least_households).filter(eligible_type("metadata_type", "tenure"))
@@ -148,8 +167,10 @@ def national_violations(rows: DataFrame, cities: Sequence[str], province: str =
     from hanok.operators import guards
 
     scoped, households, code = _of_cities(rows, cities, province), clean("세대수"), clean("단지코드")
+    value = households.try_cast("double")
+    unreadable = (households != "") & F.coalesce(F.isnan(value) | (F.abs(value) == float("inf")), F.lit(True))
     return guards.all_of(
-        guards.violations(scoped, "unreadable_households", (households != "") & households.try_cast("double").isNull(), code, households),
+        guards.violations(scoped, "unreadable_households", unreadable, code, households),
         guards.violations(scoped, "blank_complex_code", code == "", clean("단지명")),
     )
 

@@ -54,6 +54,12 @@ def outside_scope(df: DataFrame, column: str, allowed: DataFrame, guard: str = "
     return violations(seen.join(allowed, column, "left_anti"), guard, F.lit(True), column, F.col("n"))
 
 
+def outside_plan(rows: DataFrame, plan: DataFrame, request: Sequence[str], guard: str = "request_without_plan") -> DataFrame:
+    """Requests whose rows arrived though the plan does not hold them, with row counts."""
+    seen = rows.groupBy(*request).agg(F.count("*").alias("n"))
+    return violations(seen.join(plan.select(*request).distinct(), list(request), "left_anti"), guard, F.lit(True), F.concat_ws("/", *request), F.col("n"))
+
+
 def missing_months(df: DataFrame, by: str, groups: DataFrame, start: str, end: str, guard: str = "missing_month") -> DataFrame:
     """Every (group, month) of the range needs at least one row; ``df`` has ``by`` and ``ym``."""
     months = months_between_inclusive(F.lit(start), F.lit(end))

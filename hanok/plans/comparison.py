@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions.months import month_index
+from hanok.operators import guards
 from hanok.operators.estimate import area_clusters, confidence, eligible_complexes, estimates, typed_trades
 from hanok.operators.ranking import number_rows
 
@@ -25,8 +26,12 @@ def side_structs(est: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def compare(complexes: DataFrame, sales: DataFrame, from_month: str, to_month: str, kind: int = 59, **filters) -> DataFrame:
-    """Unranked comparison: every eligible complex with both estimates, change, rate, grade and reasons."""
+def compare(complexes: DataFrame, sales: DataFrame, from_month: str, to_month: str, kind: int = 59, meta: DataFrame | None = None, **filters) -> DataFrame:
+    """Unranked comparison: every eligible complex with both estimates, change, rate, grade and reasons.
+
+    With ``meta(provider, current_month)`` a comparison that ends in a month which a provider has yet to collect has no
+    rows: older prices must not pass for those of that month.
+    """
     from hanok.functions import fixed_values as fv
 
     bands = {kind: fv.ANALYSIS_BANDS[kind]}
@@ -34,6 +39,8 @@ def compare(complexes: DataFrame, sales: DataFrame, from_month: str, to_month: s
     both = side_structs(est.drop("area_type"), "complex_id")
     grade, reasons = confidence()
     has_area = area_clusters(typed_trades(sales, bands)).filter("place = 1").select("complex_id", F.lit(True).alias("has_area"))
+    if meta is not None and not guards.period_pending(meta, to_month).isEmpty():
+        complexes = complexes.limit(0)
     df = eligible_complexes(complexes, **filters).join(both, "complex_id", "left").join(has_area, "complex_id", "left")
     df = df.withColumn("change", F.col("end.value") - F.col("start.value"))
     df = df.withColumn("rate", F.col("change") / F.col("start.value") * 100)

@@ -15,20 +15,25 @@ from hanok.plans.official import Outcome
 def collect(
     catalogue: DataFrame, responses: DataFrame, start: str, end: str,
     stored: dict[str, DataFrame] | None = None, preserve: bool = False, require_months: bool = True,
+    plan: DataFrame | None = None,
 ) -> Outcome:
     """Link the contracts of portal responses (see :func:`cascade.contracts` for the row shape).
 
     ``stored`` has ``complexes``, ``sales`` and ``leases`` of the last snapshot; with ``preserve`` its months before
-    ``start`` are kept for complexes whose identity did not change.
+    ``start`` are kept for complexes whose identity did not change. ``plan(code, dong_code, complex_id)`` (see
+    :func:`coverage_plan.plan_requests`) keeps every response to the complexes it was asked for; a response to a request
+    that the plan does not hold stops the run.
     """
     rows = cs.contracts(responses)
-    linked = cs.linked_contracts(rows, catalogue, start, end)
+    linked = cs.linked_contracts(rows, catalogue, start, end, plan)
     saved = cs.distinct_contracts(linked)
     sales = saved.filter("side = 'sale'").select("complex_id", "date", "ym", "area", "floor", "price", "legal_dong", "parcel")
     leases = saved.filter("side = 'lease'").select("complex_id", "date", "ym", "area", "floor", F.col("price").alias("deposit"), "kind")
     counted = rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
     cities = catalogue.select("region").distinct()
     problems = [cs.contract_guards(rows, linked)]
+    if plan is not None:
+        problems.append(guards.outside_plan(rows, plan, cs.REQUEST))
     if require_months:
         homes = catalogue.select("complex_id", "region")
         problems += [
@@ -61,6 +66,7 @@ def collect(
     return Outcome(
         {"complexes": complexes, "sales": out_sales, "leases": out_leases},
         {
+            "reasons": cs.reason_counts(rows, linked),
             "raw_months": month_counts(counted, "region", "side"),
             "unmatched": linked.filter("complex_id is null").groupBy("region", "building", "parcel", "build_year").agg(F.count("*").alias("rows")),
             "unresolved": complexes.filter("data_status = 'matching_unconfirmed'").select("complex_id", "region", "name"),

@@ -110,7 +110,7 @@ def xml_items(star):
     }
     tags = []
     for f, v in values.items():
-        latin, hangul = tb.ITEM_NAMES[f]
+        latin, hangul = tb.ITEM_NAMES[f][0], tb.ITEM_NAMES[f][-1]
         tags += [F.when(~korean, v.cast("string")).alias(latin), F.when(korean, v.cast("string")).alias(hangul)]
     path = scratch_path(star.spark, "items")
     li.select(*tags).write.format("xml").option("rootTag", "items").option("rowTag", "item").save(path)

@@ -41,6 +41,13 @@ def plan_complexes(catalogue: DataFrame, dongs: DataFrame) -> DataFrame:
     return d.join(c, ["_d", "_n"]).select("code", "entry", "dong_code", "dong", "district", "region", "eup_name", "complex_id")
 
 
+def plan_requests(catalogue: DataFrame, dongs: DataFrame) -> DataFrame:
+    """(code, dong_code, complex_id): what each request of :func:`coverage_plan` was made for."""
+    hit = plan_complexes(catalogue, dongs)
+    asked = hit.groupBy("code", "entry").agg(F.min("dong_code").alias("dong_code"))
+    return hit.drop("dong_code").join(asked, ["code", "entry"]).select("code", "dong_code", "complex_id").distinct()
+
+
 def former_district_plan(catalogue: DataFrame, dongs: DataFrame, renamed: DataFrame) -> DataFrame:
     """Entries under a former district code: same dong, its later name, or all dongs of an eup or myeon.
 

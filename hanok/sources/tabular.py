@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,8 +78,11 @@ CATALOG_NAMES = {
 }
 
 
-def catalog_table(rows: DataFrame, regions: Sequence[str], order: str | None = None) -> DataFrame:
-    """Legacy metadata rows as a catalogue: aliased columns, first row per (region, normalised name, address)."""
+def catalog_table(rows: DataFrame, regions: Sequence[str], order: str | None = None, codes: Mapping[str, str] | None = None) -> DataFrame:
+    """Legacy metadata rows as a catalogue: aliased columns, first row per (region, normalised name, address).
+
+    With ``codes`` (region to district code) a complex without an id is named by code and position within its region.
+    """
     from hanok.functions.text import norm_name
     from hanok.functions.values import completed, loose_number, station_display, whole
 
@@ -97,22 +100,36 @@ def catalog_table(rows: DataFrame, regions: Sequence[str], order: str | None = N
     )
     fields = [c for c in typed.columns if c not in ("region", "_n", "address")]
     first = typed.groupBy("region", "_n", "address").agg(F.min_by(F.struct(*fields), "ord").alias("f"))
-    return first.select("region", "address", "f.*")
+    out = first.select("region", "address", "f.*")
+    if codes is None:
+        return out
+    # positions are those of complexes, of which a region holds thousands at most
+    code = F.element_at(F.create_map(*[F.lit(x) for pair in codes.items() for x in pair]), F.col("region"))
+    position = F.row_number().over(Window.partitionBy("region").orderBy("ord"))
+    return out.withColumn("complex_id", F.coalesce(F.nullif("complex_id", F.lit("")), F.concat(code, F.lit("-meta-"), position.cast("string"))))
+
+
+def catalog_violations(catalog: DataFrame, regions: Sequence[str], least: int = 20) -> DataFrame:
+    """Regions of which the metadata holds too few complexes, absent ones included."""
+    from hanok.operators import guards
+
+    floors = catalog.sparkSession.createDataFrame([(r, least) for r in regions], "region string, least int")
+    return guards.minimum_rows_by(catalog, "region", floors, "metadata_too_small")
 
 
-# The two tag names of each field of a trade item.
+# The tag names of each field of a trade item.
 ITEM_NAMES = {
     "name": ("aptNm", "아파트"), "area": ("excluUseAr", "전용면적"), "floor": ("floor", "층"), "price": ("dealAmount", "거래금액"),
     "year": ("dealYear", "년"), "month": ("dealMonth", "월"), "day": ("dealDay", "일"),
     "deal_type": ("dealingGbn", "거래유형"), "cancel_type": ("cdealType", "해제여부"), "cancel_day": ("cdealDay", "해제사유발생일"),
-    "legal_dong": ("umdNm", "법정동"), "jibun": ("jibun", "지번"), "apt_seq": ("aptSeq", "단지일련번호"), "build_year": ("buildYear", "건축년도"),
+    "legal_dong": ("umdNm", "법정동"), "jibun": ("jibun", "지번"), "apt_seq": ("aptSeq", "단지일련번호", "아파트일련번호"), "build_year": ("buildYear", "건축년도"),
 }
 DIRECT_DEAL = "직거래"
 NOT_CANCELLED = ("", "0", "N", "해제아님")
 
 
 def read_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
-    """All items of XML responses as text columns, whichever of the two tag names each field uses."""
+    """All items of XML responses as text columns, whichever of its tag names each field uses."""
     tags = [t for names in ITEM_NAMES.values() for t in names]
     schema = T.StructType([T.StructField(t, T.StringType()) for t in tags])
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
