@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
@@ -10,6 +14,9 @@ from hanok.functions.places import along_segment, segment_distance
 from hanok.operators.graph import connected_groups
 from hanok.session import settled
 
+#: Points of one name that a task walks through at once.
+MERGE_BLOCK = 100_000
+
 
 def cell(x, size: float) -> Column:
     return F.floor((F.col(x) if isinstance(x, str) else x) / size)
@@ -126,19 +133,38 @@ def merge_same_name(points: DataFrame, limit: float = fv.MERGE_STATION_M) -> Dat
     )
 
 
+def _founders(limit: float) -> Callable[[pa.Table], pa.Table]:
+    """Of one name's next points, none of them taken in by an earlier group: those that found one, met in their order."""
+
+    def founders(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n", "ascending")])
+        fine: dict[tuple, tuple] = {}  # at most one founder per cell
+        coarse: set[tuple] = set()
+        new = []
+        for i, (cx, cy, x, y, *place) in enumerate(zip(*[rows[c].to_pylist() for c in ("cx", "cy", "x", "y", "bx", "by")], strict=True)):
+            if tuple(place) in coarse:
+                continue
+            around = (fine.get((cx + dx, cy + dy)) for dx in range(-2, 3) for dy in range(-2, 3))
+            if not any(f and math.sqrt((x - f[0]) ** 2 + (y - f[1]) ** 2) < limit for f in around):
+                fine[cx, cy] = x, y
+                coarse.add(tuple(place))
+                new.append(i)
+        return rows.take(pa.array(new, pa.int64()))
+
+    return founders
 
 
-def merge_in_order(points: DataFrame, limit: float = fv.MERGE_STATION_M, order: str = "id") -> DataFrame:
+def merge_in_order(points: DataFrame, limit: float = fv.MERGE_STATION_M, order: str = "id", block: int = MERGE_BLOCK) -> DataFrame:
     """Merge points of one name as they come: a point joins the first group of its name founded less than ``limit`` from
     it, else the group that was founded in its 0.01 degree cell, else it founds a group.
 
     ``points(id, name, x, y, lon, lat)`` and the unique ``order`` gain ``group_id``, the id of the founder; distances are
-    measured to founders only. Founders are found in parallel rounds: an open point founds once it is the first open point
-    of its degree cell and of all cells (diagonal below ``limit``) that a point near it may lie in, as every earlier point
-    that could take it in has then been decided; a founder closes the open points around it. Rounds keep to minima per
-    cell and at most one founder per cell, never to pairs of points. A round decides the first open point of every
-    neighbourhood, so their number follows the longest chain of points that wait for each other. Ties of the degree cell
-    are rounded half to even on the written digits. Rows without a place are groups of their own.
+    measured to founders only. Each name is cut into blocks of ``block`` points by their order. A round takes the next block
+    of every name: joins drop the points that an earlier founder takes in, and one task a name walks through the rest,
+    which needs no more memory than a block. So rounds follow the largest name's number of blocks, not the length of the
+    chains of points that wait for each other. At most one founder lies in a cell (diagonal below ``limit``), and points
+    meet founders only. Ties of the degree cell are rounded half to even on the written digits. Rows without a place are
+    groups of their own.
     """
     side = limit / 1.4143
     fine, coarse = ["name", "cx", "cy"], ["name", "bx", "by"]
@@ -148,33 +174,31 @@ def merge_in_order(points: DataFrame, limit: float = fv.MERGE_STATION_M, order:
     ).filter("x is not null and y is not null and lon is not null and lat is not null"))
     reach = F.array(*[F.lit(d) for d in range(-2, 3)])
 
-    def spread(df: DataFrame) -> DataFrame:
-        """Every row once for each cell around its own, as (ox, oy)."""
-        wide = df.select("*", F.explode(F.transform(reach, lambda d: F.col("cx") + d)).alias("ox"))
-        return wide.select("*", F.explode(F.transform(reach, lambda d: F.col("cy") + d)).alias("oy"))
-
     def around(founders: DataFrame) -> DataFrame:
-        f = founders.select("name", "cx", "cy", *[F.col(c).alias(f"f_{c}") for c in ("id", "at", "x", "y")])
-        return spread(f).drop("cx", "cy").withColumnsRenamed({"ox": "cx", "oy": "cy"})
+        """Every founder once for each cell around its own."""
+        f = founders.select("name", F.col("cx").alias("ox"), F.col("cy").alias("oy"), *[F.col(c).alias(f"f_{c}") for c in ("id", "at", "x", "y")])
+        wide = f.select("*", F.explode(F.transform(reach, lambda d: F.col("ox") + d)).alias("cx"))
+        return wide.select("*", F.explode(F.transform(reach, lambda d: F.col("oy") + d)).alias("cy")).drop("ox", "oy")
 
     def near(x="f_x", y="f_y") -> Column:
         dx, dy = F.col("x") - F.col(x), F.col("y") - F.col(y)
         return F.sqrt(dx * dx + dy * dy) < limit
 
-    everything, opened, found = ["id", "at", *fine, "x", "y", "bx", "by"], placed, None
-    while True:
-        first = opened.groupBy(*fine).agg(F.min(F.struct("at", "id", "x", "y", "bx", "by")).alias("p")).select(*fine, "p.*")
-        cells = first.select("name", F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.col("at").alias("_other"))
-        earliest = spread(first.select(*fine)).join(cells, ["name", "ox", "oy"]).groupBy(*fine).agg(F.min("_other").alias("_near"))
-        own = opened.groupBy(*coarse).agg(F.min("at").alias("_cell"))
-        new = settled(first.join(earliest, fine).join(own, coarse).filter((F.col("at") <= F.col("_near")) & (F.col("at") <= F.col("_cell"))).select(*everything))
-        if new.isEmpty():
-            break
-        found = new if found is None else found.unionByName(new)
-        closed = opened.join(around(new), fine).filter(near()).select("id").unionByName(opened.join(new.select(*coarse), coarse).select("id")).distinct()
-        opened = settled(opened.join(closed, "id", "left_anti").select(*everything))
-    if found is None:
+    everything = ["id", "at", *fine, "x", "y", "bx", "by", "n"]
+    number = F.row_number().over(Window.partitionBy("name").orderBy("at", "id", "x", "y", "bx", "by")).cast("bigint") - 1
+    numbered = settled(placed.withColumn("n", number))
+    last = numbered.agg(F.max("n")).first()[0]
+    if last is None:
         return points.withColumn("group_id", F.col("id"))
+    found = None
+    for start in range(0, last + 1, block):
+        opened = numbered.filter(F.col("n").between(start, start + block - 1))
+        if found is not None:
+            closed = opened.join(around(found), fine).filter(near()).select("id").unionByName(opened.join(found.select(*coarse), coarse).select("id"))
+            opened = opened.join(closed.distinct(), "id", "left_anti")
+        opened = opened.select(*everything)
+        new = settled(opened.groupBy("name").applyInArrow(_founders(limit), opened.schema))
+        found = new if found is None else found.unionByName(new)
     found = settled(found)
     by_place = placed.join(around(found), fine).filter(near() & (F.col("f_at") <= F.col("at"))).groupBy("id").agg(F.min_by("f_id", "f_at").alias("_place"))
     by_cell = found.select(*coarse, F.col("id").alias("_cell"))

@@ -10,6 +10,7 @@ from hanok.operators import fuzzy, graph, spatial
 from hanok.operators import guards as g
 from hanok.operators.enrich import apply_transport
 from hanok.plans import transport
+from hanok.session import settled
 
 
 def plain_score(c, t):
@@ -183,6 +184,22 @@ def test_stations_merge_in_the_order_they_come(spark, shape):
     assert {r.id: r.group_id for r in spatial.merge_in_order(points).collect()} == in_order(rows)
 
 
+def test_a_long_chain_of_stations_takes_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(spatial, "settled", lambda df: written.append(1) or settled(df))
+    rows = placed_points([(i * 350.0, i % 2 * 90.0) for i in range(300)], ("당산", "합정"))
+    points = spark.createDataFrame(rows, "id bigint, name string, x double, y double, lon double, lat double")
+    assert {r.id: r.group_id for r in spatial.merge_in_order(points).collect()} == in_order(rows)
+    assert len(written) <= 5
+
+
+def test_stations_merge_in_order_over_several_blocks(spark):
+    rng = random.Random(4)
+    rows = placed_points([(rng.uniform(0, 4000), rng.uniform(0, 4000)) for _ in range(200)], ("당산", "합정"))
+    points = spark.createDataFrame(rows, "id bigint, name string, x double, y double, lon double, lat double")
+    assert {r.id: r.group_id for r in spatial.merge_in_order(points, block=40).collect()} == in_order(rows)
+
+
 def test_points_without_a_place_are_groups_of_their_own(spark):
     schema = "id bigint, name string, x double, y double, lon double, lat double"
     points = spark.createDataFrame([(1, "당산", None, 1.0, None, 37.0), (2, "당산", 1.0, 1.0, 126.9, 37.0), (3, "당산", 2.0, 1.0, 126.9, 37.0), (4, None, 1.0, 1.0, 126.9, 37.0)], schema)
