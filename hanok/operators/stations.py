@@ -36,13 +36,11 @@ def station_lines(nodes: DataFrame, relations: DataFrame) -> DataFrame:
         .unionByName(area_members.join(route_members, "ref").select("area", "line"))
         .distinct()
     )
+    held = stations.select("id").join(area_members.withColumnRenamed("ref", "id"), "id").select("id", "area").distinct()
+    # a name may be that of many areas and of many stations: its lines are collected first, so that these never meet in pairs
     named = relations.filter(is_area).select(F.col("id").alias("area"), tag_name("tags").alias("name"))
-    in_area = (
-        stations.select("id").join(area_members.withColumnRenamed("ref", "id"), "id").select("id", "area")
-        .unionByName(stations.join(named, "name").select("id", "area"))
-        .distinct()
-    )
-    by_area = in_area.join(area_lines, "area").select("id", "line")
+    name_lines = named.join(area_lines, "area").select("name", "line").distinct()
+    by_area = held.join(area_lines, "area").select("id", "line").unionByName(stations.join(name_lines, "name").select("id", "line"))
     lines = own.unionByName(by_route).unionByName(by_area).distinct().groupBy("id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
     # a station without a recognised line, or without a Korean name, is not a commuter station
     return stations.join(lines, "id").filter(F.col("name").rlike("[가-힣]"))
@@ -60,12 +58,12 @@ def entrances(grouped: DataFrame, nodes: DataFrame, relations: DataFrame) -> Dat
     is_area = F.coalesce(F.element_at("tags", F.lit("public_transport")) == "stop_area", F.lit(False))
     areas = relations.filter(is_area).select(F.col("id").alias("area"), tag_name("tags").alias("name"), "members")
     refs = areas.select("area", F.explode("members").alias("m")).filter("m.type = 'n'").select("area", F.col("m.ref").alias("ref"))
-    of_group = (
-        grouped.join(refs.withColumnRenamed("ref", "id"), "id").select("group_id", "area")
-        .unionByName(grouped.join(areas, "name").select("group_id", "area"))
-        .distinct()
-    )
-    by_area = of_group.join(refs, "area").join(gates, F.col("ref") == F.col("endpoint")).select("group_id", "endpoint", "lon", "lat").distinct()
+    gates_of = refs.join(gates, F.col("ref") == F.col("endpoint")).select("area", "endpoint", "lon", "lat").distinct()
+    held = grouped.join(refs.withColumnRenamed("ref", "id"), "id").select("group_id", "area").distinct().join(gates_of, "area")
+    # areas and stations of one name never meet in pairs: the entrances of a name are collected first
+    of_name = areas.select("area", "name").join(gates_of, "area").select("name", "endpoint", "lon", "lat").distinct()
+    named = grouped.select("group_id", "name").distinct().join(of_name, "name")
+    by_area = held.select("group_id", "endpoint", "lon", "lat").unionByName(named.select("group_id", "endpoint", "lon", "lat")).distinct()
 
     names = grouped.select("group_id", "name").distinct().join(by_area.select("group_id").distinct(), "group_id", "left_anti")
 

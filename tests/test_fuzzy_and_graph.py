@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from hanok.operators import fuzzy, graph, spatial
+from hanok.operators import fuzzy, graph, spatial, stations
 from hanok.operators import guards as g
 from hanok.operators.enrich import apply_transport
 from hanok.plans import transport
@@ -200,6 +200,38 @@ def test_stations_merge_in_order_over_several_blocks(spark):
     assert {r.id: r.group_id for r in spatial.merge_in_order(points, block=40).collect()} == in_order(rows)
 
 
+def most_rows(df):
+    """The most rows that a step of the executed plan gives."""
+    df.collect()
+
+    def most(p):
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return most(p.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return most(p.plan())
+        own = p.metrics().get("numOutputRows")
+        below = [most(p.children().apply(i)) for i in range(p.children().size())]
+        return max([own.get().value() if own.isDefined() else 0, *below])
+
+    return most(df._jdf.queryExecution().executedPlan())
+
+
+def test_areas_and_stations_of_one_name_do_not_meet_in_pairs(spark):
+    n = 300
+    tags = F.create_map(F.lit("railway"), F.when(F.col("id") < n, "station").otherwise("subway_entrance"), F.lit("name"), F.lit("당산역"), F.lit("line"), F.when(F.col("id") % 7 == 0, "2호선").otherwise(""))
+    nodes = spark.range(2 * n).select("id", F.lit(126.9).alias("lon"), F.lit(37.5).alias("lat"), tags.alias("tags"))
+    member = F.array(*[F.struct(F.lit("n").alias("type"), r.alias("ref"), F.lit("").alias("role")) for r in (F.col("id"), F.col("id") + n)])
+    areas = spark.range(n).select("id", F.create_map(F.lit("public_transport"), F.lit("stop_area"), F.lit("name"), F.lit("당산역")).alias("tags"), member.alias("members"))
+    lines = stations.station_lines(nodes, areas)
+    assert {(r.id, *r.lines) for r in lines.collect()} == {(i, "2") for i in range(n)}
+    assert most_rows(lines) < 10 * n
+    heads = stations.station_nodes(nodes).filter(F.col("id") < n).select("id", "name", F.lit(0).cast("bigint").alias("group_id"))
+    gates = stations.entrances(heads, nodes, areas)
+    assert {(r.group_id, r.endpoint, r.how) for r in gates.collect()} == {(0, n + i, "area") for i in range(n)}
+    assert most_rows(gates) < 10 * n
+
+
 def test_points_without_a_place_are_groups_of_their_own(spark):
     schema = "id bigint, name string, x double, y double, lon double, lat double"
     points = spark.createDataFrame([(1, "당산", None, 1.0, None, 37.0), (2, "당산", 1.0, 1.0, 126.9, 37.0), (3, "당산", 2.0, 1.0, 126.9, 37.0), (4, None, 1.0, 1.0, 126.9, 37.0)], schema)
