@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from hanok.session import cut, settled
 
+SLACK = 1e-6  # metres a walk may go too far against rounding; the limit itself is held at the end
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Directed copies (node, next, length) of undirected edges (a, b, length)."""
@@ -22,18 +24,21 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def bounded_paths(starts: DataFrame, edges: DataFrame, limit: float, hops: int = 3) -> DataFrame:
     """Shortest distance from each source to every node within ``limit``, with the node before it.
 
-    ``starts(source, node, dist)`` may hold several entry nodes per source; ``edges(a, b, length)``. A round walks
-    ``hops`` edges from the nodes improved in the round before, keeps the best per (source, node), and goes on only
-    with those that beat the distance known so far. Sums are pre-aggregated on the map side; the frontier holds one row
-    per (source, node). Ends when nothing improves.
+    ``starts(source, node, dist)`` may hold several entry nodes per source; ``edges(a, b, length)``. Walks begin at the
+    distinct entry nodes, so sources that share one share its walk, and each source takes the best over its entries at the
+    end. A round walks ``hops`` edges from the nodes improved in the round before, keeps the best per (entry, node), and goes
+    on only with those that beat the distance known so far. Sums are pre-aggregated on the map side; the frontier holds one
+    row per (entry, node). Ends when nothing improves.
     """
     steps = cut(both_ways(edges).groupBy("node", "next").agg(F.min("length").alias("length")))
+    entry = cut(starts.filter(F.col("dist") <= limit).groupBy("source", "node").agg(F.min("dist").alias("dist")))
+    # entries that many sources share are walked from once, as far as the nearest of these sources may go
+    roots = entry.groupBy(F.col("node").alias("root")).agg((F.lit(limit) - F.min("dist")).alias("left"))
 
     def best(df):
-        return df.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("m")).select("source", "node", "m.dist", "m.prev")
+        return df.groupBy("root", "node").agg(F.min(F.struct("dist", "prev")).alias("m"), F.first("left").alias("left")).select("root", "node", "m.dist", "m.prev", "left")
 
-    first = starts.filter(F.col("dist") <= limit).select("source", "node", "dist", F.lit(None).cast("bigint").alias("prev"))
-    known = cut(best(first))
+    known = cut(roots.select("root", F.col("root").alias("node"), F.lit(0.0).alias("dist"), F.lit(None).cast("bigint").alias("prev"), "left"))
     frontier = known
     while True:
         reached = None
@@ -41,17 +46,21 @@ def bounded_paths(starts: DataFrame, edges: DataFrame, limit: float, hops: int =
         for _ in range(hops):
             moved = (
                 edge_of_round.join(steps, "node")
-                .select("source", F.col("next").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("prev"))
-                .filter(F.col("dist") <= limit)
+                .select("root", F.col("next").alias("node"), (F.col("dist") + F.col("length")).alias("dist"), F.col("node").alias("prev"), "left")
+                .filter(F.col("dist") <= F.col("left") + SLACK)
             )
             edge_of_round = best(moved)
             reached = edge_of_round if reached is None else reached.unionByName(edge_of_round)
-        old = known.select("source", "node", F.col("dist").alias("_known"))
-        better = best(reached).join(old, ["source", "node"], "left").filter(F.col("_known").isNull() | (F.col("dist") < F.col("_known")))
+        old = known.select("root", "node", F.col("dist").alias("_known"))
+        better = best(reached).join(old, ["root", "node"], "left").filter(F.col("_known").isNull() | (F.col("dist") < F.col("_known")))
         frontier = cut(better.drop("_known"))
         if frontier.isEmpty():
-            return known
+            break
         known = cut(best(known.unionByName(frontier)))
+    begun = entry.select("source", F.col("node").alias("root"), F.col("dist").alias("_begun"))
+    whole = begun.join(known, "root").select("source", "node", (F.col("_begun") + F.col("dist")).alias("dist"), "prev").filter(F.col("dist") <= limit)
+    nearest = whole.groupBy("source", "node").agg(F.min(F.struct("dist", "prev")).alias("m"))
+    return cut(nearest.select("source", "node", "m.dist", "m.prev"))
 
 
 def routes(paths: DataFrame, goals: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from hanok.operators import fuzzy, graph, spatial, stations
 from hanok.operators import guards as g
 from hanok.operators.enrich import apply_transport
 from hanok.plans import transport
-from hanok.session import settled
+from hanok.session import cut, settled
 
 
 def plain_score(c, t):
@@ -239,6 +239,17 @@ def test_points_without_a_place_are_groups_of_their_own(spark):
     assert spatial.merge_in_order(points.limit(0)).count() == 0
 
 
+def test_sources_that_share_an_entry_share_its_walk(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(graph, "cut", lambda df: sizes.append(df.count()) or cut(df))
+    edges = spark.createDataFrame([(i, i + 1, 10.0) for i in range(20)], "a bigint, b bigint, length double")
+    starts = spark.createDataFrame([(s, n, s + 5.0 * n) for s in range(60) for n in (0, 1)], "source bigint, node bigint, dist double")
+    got = {(r.source, r.node): r.dist for r in graph.bounded_paths(starts, edges, 100.0).collect()}
+    assert got == {(s, n): s + (10.0 * n - 5.0 if n else 0.0) for s in range(60) for n in range(21) if s + (10.0 * n - 5.0 if n else 0.0) <= 100}
+    steps, entry, *rounds, whole = sizes
+    assert whole == len(got) and max(rounds) <= 2 * 21
+
+
 def test_routes_are_whole_paths_of_the_stated_length(spark):
     rng = random.Random(11)
     edges = {}
