@@ -36,6 +36,7 @@ from pyspark.sql.datasource import (
 
 from hanok.functions.fixed_values import PART_MAX_BYTES, PART_PREFIX, PART_SUFFIX
 from hanok.operators import guards
+from hanok.session import scratch_scope, settled
 
 FORMAT, MANIFEST, PREVIOUS = "hanok_parts", "manifest.json", "manifest.previous.json"
 FRAME = len(PART_PREFIX.encode()) + len(PART_SUFFIX.encode()) + 2
@@ -237,8 +238,9 @@ def write_store(documents: DataFrame, path: str, version: str, max_bytes: int =
     stops the write."""
     documents.sparkSession.dataSource.register(PartSource)
     ordered = documents.select("region", F.col("ord").cast("bigint").alias("ord"), F.col("id").cast("string").alias("id"), "json")
-    ordered = ordered.repartitionByRange("region", "ord").sortWithinPartitions("region", "ord")
-    ordered.write.format(FORMAT).mode("append").option("version", version).option("max_bytes", max_bytes).save(path)
+    with scratch_scope(documents.sparkSession):  # built once: the ranges are sampled from what was written
+        ordered = settled(ordered, "documents").repartitionByRange("region", "ord").sortWithinPartitions("region", "ord")
+        ordered.write.format(FORMAT).mode("append").option("version", version).option("max_bytes", max_bytes).save(path)
 
 
 def read_store(spark: SparkSession, path: str, which: str = "current", regions: Sequence[str] | None = None) -> DataFrame:
@@ -254,7 +256,9 @@ def read_store(spark: SparkSession, path: str, which: str = "current", regions:
 def load_store(spark: SparkSession, path: str, row_schema: str, which: str = "current", regions: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``file`` and ``ord``, what is wrong): each part by itself, then the count of the whole, ids and places in the
     declared order that occur twice."""
-    found = read_store(spark, path, which, regions)
+    with scratch_scope(spark) as made:  # opened once: the checks and the rows start from what was read
+        found = settled(read_store(spark, path, which, regions), "parts-read")
+        made.clear()
     good = found.filter("problem is null")
     manifest = Store(path).manifest(which)
     total = sum(p["count"] for p in manifest["parts"] if regions is None or p["region"] in regions)

@@ -117,3 +117,20 @@ def test_the_job_checks_sizes_as_they_are_written(spark, tmp_path):
     up.publish_parts(spark, str(tmp_path), "v1", tables, 900)
     rows, wrong = ps.load_store(spark, str(tmp_path), "struct<id:string,name:string,tx:array<struct<price:int>>>")
     assert wrong.isEmpty() and {(r.id, r.name, r.tx[0].price) for r in rows.collect()} == {("A", "<" * 60, 5), ("B", "b", 7)}
+
+
+def test_documents_are_built_and_parts_are_opened_once(spark, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def document(i):
+        built.add(1)
+        return '{"id":"' + str(i) + '","region":"강남구"}'
+
+    documents = spark.range(40).select(F.lit("강남구").alias("region"), F.col("id").alias("ord"), F.col("id").cast("string").alias("id"), document("id").alias("json"))
+    ps.write_store(documents, str(tmp_path / "store"), "v1", 400)
+    assert built.value == 40
+    rows, wrong = ps.load_store(spark, str(tmp_path / "store"), ROW)
+    for part in ps.Store(str(tmp_path / "store")).names("regions"):
+        (tmp_path / "store" / part).unlink()  # nothing opens them again
+    assert wrong.count() == 0 and rows.count() == 40
