@@ -26,7 +26,8 @@ GUARD = '"guard"'
 @query("envelope_scan", "S1", f"""WITH {RAW_SALE} SELECT cgg_cd, ctrt_day, bldg_nm, printf('%,d', thing_amt) AS thing_amt, CAST(l AS VARCHAR) AS flr FROM (SELECT *, flr AS l FROM raw_sale)""")
 def envelope_scan(star):
     path = scratch_path(star.spark, "envelopes")
-    ev.to_envelopes(star.raw_sales()).write.text(path)
+    # compressed files can't be split, so their length is bounded
+    ev.to_envelopes(star.raw_sales()).write.option("compression", "gzip").option("maxRecordsPerFile", 100).text(path)
     return ev.envelope_rows(ev.read_envelopes(star.spark, path, lines=True), ["cgg_cd", "ctrt_day", "bldg_nm", "thing_amt", "flr"]).drop("file")
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +40,20 @@ def to_envelopes(rows: DataFrame, page: int = 1000, upper: bool = True) -> DataF
     """Rows as envelope texts (column ``value``) of at most ``page`` rows each, as a portal pages its responses."""
     names = [c.upper() if upper else c for c in rows.columns]
     item = F.struct(*[F.col(c).alias(n) for c, n in zip(rows.columns, names)])
-    # consecutive rows of a partition share a page, so pages never need more than a page of rows in one place
-    placed = rows.select(item.alias("item"), F.monotonically_increasing_id().alias("i"))
-    pages = placed.groupBy((F.floor(F.col("i") / page)).alias("p")).agg(F.collect_list("item").alias("DATA"))
-    return pages.select(F.to_json(F.struct("DATA")).alias("value"))
+    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # consecutive rows of a partition share a page: nothing is shuffled and a task holds one page
+        held: list[str] = []
+
+        def text():
+            return pd.DataFrame({"value": ['{"DATA":[' + ",".join(held) + "]}"]})
+
+        for batch in batches:
+            for item in batch["item"]:
+                held.append(item)
+                if len(held) == page:
+                    yield text()
+                    held.clear()
+        if held:
+            yield text()
+
+    return rows.select(F.to_json(item).alias("item")).mapInPandas(pages, "value string")

@@ -95,9 +95,10 @@ class Star:
         part, c = self.table("part"), self.complexes
         day = F.date_format("l_shipdate", "yyyyMMdd")
         return (
-            li.join(c, F.col("l_suppkey") == c.complex_id)
-            .join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+            # the wide columns of the complex come last, so that the other joins move narrow rows
+            li.join(o, F.col("l_orderkey") == F.col("o_orderkey"), "left")
             .join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"), "left")
+            .join(c, F.col("l_suppkey") == c.complex_id)
             .select(
                 F.col("region").alias("cgg_cd"),
                 F.year("l_shipdate").cast("string").alias("rcpt_yr"),

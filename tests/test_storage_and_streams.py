@@ -75,6 +75,18 @@ def test_changed_snapshot_is_not_loaded(spark, tmp_path):
         pb.load_snapshot(spark, root)
 
 
+def test_envelope_pages_move_no_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(str(i), None if i % 3 else f"a\"{i}") for i in range(25)], "no string, name string").coalesce(1)
+    texts = ev.to_envelopes(rows, page=10)
+    assert "Exchange" not in texts._jdf.queryExecution().executedPlan().toString()
+    texts.write.option("compression", "gzip").option("maxRecordsPerFile", 2).text(str(tmp_path / "pages"))
+    back = ev.read_envelopes(spark, str(tmp_path / "pages"), lines=True)
+    assert sorted(len(r.rows) for r in back.collect()) == [5, 10, 10]
+    got = {(r.no, r.name) for r in ev.envelope_rows(back, ["no", "name"]).collect()}
+    assert got == {(r.no, r.name) for r in rows.collect()}
+    assert ev.to_envelopes(rows.limit(0)).count() == 0
+
+
 def test_envelopes(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"DATA":[{"BDRG_SN":100000000000000000001,"Name":"x"},{"name":"y"}]}')
     (tmp_path / "b.json").write_text('{\n "DATA": [\n {"name": "z"}\n ]\n}')
