@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
-from hanok.functions.months import ym_of_date
+from hanok.functions.months import let, ym_of_date
 from hanok.functions.parcels import parcel
 from hanok.functions.text import clean, norm
 from hanok.functions.values import compact_date, integer, number
@@ -117,7 +117,7 @@ def link(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, mode: str =
 
 def linked_sales(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:
     """Counted sale rows of the period with their complex and ``outcome``: unmatched, cancelled or saved."""
-    counted = rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
+    counted = rows.filter(F.col("excluded").isNull() & let(F.col("ym"), lambda m: m.between(start, end)))
     outcome = F.when(F.col("complex_id").isNull(), "unmatched").when(F.col("cancelled"), "cancelled").otherwise("saved")
     return link(counted, bindings, complexes).withColumn("outcome", outcome)
 
@@ -140,9 +140,13 @@ def sale_guards(rows: DataFrame, linked: DataFrame, complexes: DataFrame, distri
 def reason_counts(rows: DataFrame, linked: DataFrame) -> DataFrame:
     """Rows per reason: what was left out before linking, and what happened to the rest."""
     before = rows.filter(F.col("excluded").isNotNull()).groupBy(F.col("excluded").alias("reason")).agg(F.count("*").alias("rows"))
-    after = linked.groupBy(F.col("outcome").alias("reason")).agg(F.count("*").alias("rows"))
-    by_name = linked.filter("method = 'exact_name'").agg(F.count("*").alias("rows")).select(F.lit("linked_by_exact_name").alias("reason"), "rows")
-    return before.unionByName(after).unionByName(by_name)
+    # the linked rows are counted in one pass; of no rows at all, none is linked by name
+    counts = linked.groupBy("outcome", "method").agg(F.count("*").alias("n"))
+    named = F.struct(F.lit("linked_by_exact_name").alias("reason"), F.when(F.col("method") == "exact_name", F.col("n")).alias("rows"))
+    none = linked.sparkSession.range(1).select(F.lit("linked_by_exact_name").alias("reason"), F.lit(0).cast("bigint").alias("rows"))
+    each = counts.select(F.inline(F.array(F.struct(F.col("outcome").alias("reason"), F.col("n").alias("rows")), named))).filter("rows is not null")
+    after = each.unionByName(none).groupBy("reason").agg(F.sum("rows").alias("rows"))
+    return before.unionByName(after)
 
 
 def unmatched_buildings(linked: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ LEASE_FINGERPRINT = ["complex_id", "date", "area", "floor", "deposit", "parcel",
 
 
 def linked_leases(rows: DataFrame, bindings: DataFrame, complexes: DataFrame, start: str, end: str) -> DataFrame:
-    counted = rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
+    counted = rows.filter(F.col("excluded").isNull() & let(F.col("ym"), lambda m: m.between(start, end)))
     outcome = F.when(F.col("parcel").isNull() | F.col("build_year").isNull(), "unidentified_address").when(
         F.col("complex_id").isNull(), "unmatched"
     ).otherwise("linked")
