@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +17,13 @@ def let(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), 0)
 
 
+def once(df: DataFrame, *columns: Column, keep: Sequence[str] = ()) -> DataFrame:
+    """``keep`` and new columns that are computed once a row: filters on them are not pushed below, where each mention would
+    compute them again."""
+    # the outer form always gives its one row, so no filter on the array is inferred either
+    return df.select(*keep, F.inline_outer(F.array(F.struct(*columns))))
+
+
 def month_index(ym: str) -> int:
     year, month = ym.split("-")
     return int(year) * 12 + int(month) - 1

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hanok.functions.fixed_values import ARCHIVE_FIELDS
+from hanok.functions.months import once
 from hanok.functions.text import clean, first_nonblank, folded_header
 
 
@@ -141,10 +142,10 @@ def item_trades(items: DataFrame) -> DataFrame:
     from hanok.functions.values import loose_number, whole
 
     live = ~F.contains("deal_type", F.lit(DIRECT_DEAL)) & (F.col("cancel_day") == "") & F.col("cancel_type").isin(*NOT_CANCELLED)
-    typed = items.filter(live).select(
-        "name", loose_number("area").alias("area"), whole("floor").cast("int").alias("floor"), whole("price").alias("price"),
+    typed = once(
+        items.filter(live), loose_number("area").alias("area"), whole("floor").cast("int").alias("floor"), whole("price").alias("price"),
         whole("year").alias("y"), whole("month").alias("m"), whole("day").alias("d"),
-        "legal_dong", "jibun", "apt_seq", whole("build_year").cast("int").alias("build_year"),
+        keep=["name", "legal_dong", "jibun", "apt_seq", "build_year"],
     )
     complete = (F.col("name") != "") & F.col("area").isNotNull() & F.col("floor").isNotNull()
     for c in ("price", "y", "m", "d"):
@@ -152,5 +153,6 @@ def item_trades(items: DataFrame) -> DataFrame:
     banded = ((F.col("area") >= 45) & (F.col("area") < 75)) | F.col("area").between(82.0, 86.5)
     return typed.filter(complete & banded).select(
         "name", F.round("area", 2).alias("area"), "floor", "price",
-        F.format_string("%04d-%02d-%02d", "y", "m", "d").alias("date"), "legal_dong", "jibun", "apt_seq", "build_year",
+        F.format_string("%04d-%02d-%02d", "y", "m", "d").alias("date"), "legal_dong", "jibun", "apt_seq",
+        whole("build_year").cast("int").alias("build_year"),
     )

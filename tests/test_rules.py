@@ -85,3 +85,34 @@ def test_a_month_that_is_yet_to_come_has_no_comparison(spark):
     meta = spark.createDataFrame([("city", "2026-09"), ("province", "2026-10")], "provider string, current_month string")
     count = lambda to: comparison.compare(c, sales, "2026-08", to, meta=meta).count()
     assert (count("2026-09"), count("2026-10")) == (1, 0)
+
+
+def test_sale_reasons_count_linked_rows_once(spark):
+    from hanok.operators import linking as ln
+
+    rows = spark.createDataFrame([("non_apartment",), ("non_apartment",), (None,)], "excluded string")
+    linked = spark.createDataFrame([("saved", "exact_name"), ("saved", "binding"), ("cancelled", "exact_name"), ("unmatched", None)], "outcome string, method string")
+    out = ln.reason_counts(rows, linked)
+    assert sorted((r.reason, r.rows) for r in out.collect()) == [("cancelled", 1), ("linked_by_exact_name", 2), ("non_apartment", 2), ("saved", 2), ("unmatched", 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # rows and linked, each read once
+    none = ln.reason_counts(rows, linked.limit(0))
+    assert sorted((r.reason, r.rows) for r in none.collect()) == [("linked_by_exact_name", 0), ("non_apartment", 2)]
+
+
+def test_item_values_are_computed_once(spark):
+    from hanok.sources import tabular as tb
+
+    items = spark.createDataFrame([{f: "" for f in tb.ITEM_NAMES} | dict(name="a", area="59.9", floor="3", price="1,000", year="2025", month="9", day="1", build_year="2000")])
+    out = tb.item_trades(items)
+    assert [(r.area, r.floor, r.price, r.date, r.build_year) for r in out.collect()] == [(59.9, 3, 1000, "2025-09-01", 2000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 1 and "try_cast" not in plan.split("+- Project")[-1]  # no filter below parses numbers again
+
+
+def test_folded_equals_the_long_way(spark):
+    from hanok.functions.months import let
+    from hanok.functions.text import compat, composed, folded
+
+    texts = ["a B#1", "당산 아파트", "ⅣＡ㈜", "\u1103\u1161\u11bc", "①차", "é", "\U0001d400", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(folded("t").alias("a"), let(composed("t"), compat).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
