@@ -110,9 +110,18 @@ def composed(c) -> Column:
     return F.when(s.rlike(JAMO), F.aggregate(found, s, lambda acc, jamo: F.replace(acc, jamo, syllable(jamo)))).otherwise(s)
 
 
+# Outside ASCII and whole syllables, the only texts that hold jamo or compatibility forms.
+UNCOMMON = r"[^\x00-\x7f가-힣]"
+
+
+def folded(c) -> Column:
+    """Composed and compatible text; one test of two ranges spares common texts the long character classes."""
+    return let(col(c), lambda s: F.when(s.rlike(UNCOMMON), let(composed(s), compat)).otherwise(s))
+
+
 def norm(c, exact: bool = False) -> Column:
     """Letters and digits of a name, lower case, without the word for apartment."""
-    s = nfkc(col(c)) if exact else let(composed(c), compat)
+    s = nfkc(col(c)) if exact else folded(c)
     s = F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit(fv.APARTMENT), F.lit(""))
     return F.regexp_replace(s, f"[^{KEPT}]+", "")
 
@@ -126,7 +135,7 @@ def norm_name(c) -> Column:
     def both(raw):
         return F.coalesce(F.nullif(strip(F.regexp_replace(raw, r"\([^)]*\)", "")), F.lit("")), strip(raw))
 
-    return let(F.lower(F.coalesce(let(composed(c), compat), F.lit(""))), both)
+    return let(F.lower(F.coalesce(folded(c), F.lit(""))), both)
 
 
 def station_name(c) -> Column:

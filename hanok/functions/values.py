@@ -41,9 +41,8 @@ def calendar_date(year, month, day) -> Column:
 
 def compact_date(c) -> Column:
     """Date of the first eight digits ``yyyyMMdd``, null when invalid."""
-    s = F.substring(clean(c), 1, 8)
-    n = F.when(F.length(s) == 8, s.try_cast("int"))
-    return calendar_date(F.floor(n / 10000).cast("int"), F.floor(F.pmod(n, F.lit(10000)) / 100).cast("int"), F.pmod(n, F.lit(100)))
+    digits = let(F.substring(clean(c), 1, 8), lambda s: F.when(F.length(s) == 8, s.try_cast("int")))
+    return let(digits, lambda n: calendar_date(F.floor(n / 10000).cast("int"), F.floor(F.pmod(n, F.lit(10000)) / 100).cast("int"), F.pmod(n, F.lit(100))))
 
 
 def disclosed_date(value, query_year) -> Column:
