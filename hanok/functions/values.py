@@ -45,20 +45,25 @@ def compact_date(c) -> Column:
     return let(digits, lambda n: calendar_date(F.floor(n / 10000).cast("int"), F.floor(F.pmod(n, F.lit(10000)) / 100).cast("int"), F.pmod(n, F.lit(100))))
 
 
+def date_parts(value) -> Column:
+    """Runs of digits of a disclosed date; see :func:`date_of_parts`."""
+    return F.regexp_extract_all(clean(value), F.lit("([0-9]+)"), F.lit(1))
+
+
+def date_of_parts(parts: Column, query_year) -> Column:
+    n = F.size(parts)
+    a, b, c = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
+    full_year = F.when(a < 100, a + 2000).otherwise(a)
+    return (
+        F.when(n == 2, calendar_date(col(query_year).cast("int"), a, b))
+        .when(n == 3, calendar_date(full_year, b, c))
+        .when((n == 1) & (F.length(F.get(parts, 0)) == 8), compact_date(F.get(parts, 0)))
+    )
+
+
 def disclosed_date(value, query_year) -> Column:
     """Date of ``MM.DD`` (year of the query), ``YY.MM.DD`` / ``YYYY.MM.DD`` or ``yyyyMMdd``; null when invalid."""
-
-    def parse(parts):
-        n = F.size(parts)
-        a, b, c = (F.try_element_at(parts, F.lit(i)).try_cast("int") for i in (1, 2, 3))
-        full_year = F.when(a < 100, a + 2000).otherwise(a)
-        return (
-            F.when(n == 2, calendar_date(col(query_year).cast("int"), a, b))
-            .when(n == 3, calendar_date(full_year, b, c))
-            .when((n == 1) & (F.length(F.get(parts, 0)) == 8), compact_date(F.get(parts, 0)))
-        )
-
-    return let(F.regexp_extract_all(clean(value), F.lit("([0-9]+)"), F.lit(1)), parse)
+    return let(date_parts(value), lambda parts: date_of_parts(parts, query_year))
 
 
 def completed(use_date, build_year=None) -> Column:

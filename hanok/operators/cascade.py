@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hanok.functions import fixed_values as fv
-from hanok.functions.months import ym_of_date
+from hanok.functions.months import once, ym_of_date
 from hanok.functions.parcels import pnu_identity
 from hanok.functions.text import canonical_name, clean, name_key, norm
-from hanok.functions.values import disclosed_date, number
+from hanok.functions.values import date_of_parts, date_parts, number
 from hanok.operators import guards
 from hanok.session import cut
 
@@ -17,6 +19,7 @@ GRAM = 4  # a contained name counts from this length on
 SITE = ["region", "dong", "land_kind", "parcel", "build_year"]
 KEY = [*SITE, "trade_name"]
 REQUEST = ["code", "dong_code"]
+FOUND = ["complex_id", "method"]
 
 
 def effective_dong(disclosed, eup_scope, eup_name, canonical_dong) -> Column:
@@ -32,37 +35,85 @@ def _not_whole(c) -> Column:
 
 
 RAW_SITE = ["region", "canonical_dong", "eup_scope", "eup_name", "UMD_NM", "PNU", "MVIN_YM", "KAB_APTNM"]
+PARSED = ["region", "eup_scope", "legal_dong", "dong", "i", "building", "trade_name"]
 
 
-def identified(rows: DataFrame) -> DataFrame:
-    """Rows with their parsed identity: parcel id, legal dong and normalised name.
+@dataclass(frozen=True)
+class Sites:
+    """Parsed identities, one row per distinct spelling and request, and the seed that keeps their marks apart."""
 
-    Parsed once per distinct spelling and looked up by the rows, so the number of buildings decides the cost.
-    """
+    parsed: DataFrame
+    seed: int
+
+
+def _mark(seed: int) -> Column:
+    """64 bits of a row's spelling and request; an absent value differs from every other."""
+    return F.xxhash64(F.lit(seed), *RAW_SITE, *REQUEST, *[F.col(c).isNull() for c in REQUEST])
+
+
+def _spelled(rows: DataFrame) -> DataFrame:
     blank = [c for c in RAW_SITE if c != "eup_scope"]
     texts = rows.drop("dong").withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in blank})
-    sites = cut(texts.select(*RAW_SITE).distinct())
-    sites = sites.withColumn("legal_dong", effective_dong("UMD_NM", "eup_scope", "eup_name", "canonical_dong")).select(
-        *RAW_SITE, "legal_dong", norm(F.coalesce("legal_dong", F.lit(""))).alias("dong"), pnu_identity("PNU", "MVIN_YM").alias("i"),
-        F.trim("KAB_APTNM").alias("building"), norm("KAB_APTNM").alias("trade_name"),
-    )
-    return texts.join(sites, RAW_SITE)
+    return texts.filter("eup_scope is not null")
 
 
-def contracts(rows: DataFrame) -> DataFrame:
+def sites_of(rows: DataFrame) -> Sites:
+    """Identities of portal rows: parcel id, legal dong and normalised name.
+
+    Parsed once per distinct spelling, so the number of buildings decides the cost. The rows find theirs by a mark of 64 bits;
+    another seed is taken where two spellings share a mark.
+    """
+    texts = _spelled(rows)
+    for seed in range(16):
+        spellings = texts.select(_mark(seed).alias("site"), *REQUEST, *RAW_SITE).distinct()
+        parsed = cut(
+            spellings.withColumn("legal_dong", effective_dong("UMD_NM", "eup_scope", "eup_name", "canonical_dong")).select(
+                "site", *REQUEST, "region", "eup_scope", "legal_dong", norm(F.coalesce("legal_dong", F.lit(""))).alias("dong"),
+                pnu_identity("PNU", "MVIN_YM").alias("i"), F.trim("KAB_APTNM").alias("building"), norm("KAB_APTNM").alias("trade_name"),
+            )
+        )
+        if parsed.groupBy("site").count().filter("count > 1").isEmpty():
+            return Sites(parsed, seed)
+    raise RuntimeError("no seed keeps the marks of the spellings apart")
+
+
+def _keyed(sites: Sites) -> DataFrame:
+    return sites.parsed.withColumns({"land_kind": F.col("i.kind"), "parcel": F.col("i.parcel"), "build_year": F.col("i.year")})
+
+
+def bound(sites: Sites, complexes: DataFrame, plan: DataFrame | None = None) -> Sites:
+    """The sites with their complex and method (see :func:`resolve`), so that the rows find identity and complex at once."""
+    key = KEY if plan is None else [*REQUEST, *KEY]
+    keyed = _keyed(sites)
+    found = keyed.select("site", *key).join(resolve(keyed.select(*key).distinct(), complexes, plan), key).select("site", *FOUND)
+    return Sites(sites.parsed.join(found, "site", "left"), sites.seed)
+
+
+def identified(rows: DataFrame, sites: Sites | None = None) -> DataFrame:
+    """Rows with their parsed identity in place of the raw one; also with what their sites are bound to."""
+    sites = sites or sites_of(rows)
+    marked = _spelled(rows).withColumn("site", _mark(sites.seed)).drop(*RAW_SITE)
+    return marked.join(sites.parsed.drop(*REQUEST), "site").drop("site")
+
+
+def contracts(rows: DataFrame, sites: Sites | None = None) -> DataFrame:
     """One record per contract: column group A is the sale, B the deposit lease; group C (monthly rent) is not read.
 
     ``rows`` carries the request (``code, dong_code, year, region, dong, canonical_dong, eup_scope, eup_name``).
-    ``excluded`` holds the first reason for which a row does not count.
+    ``excluded`` holds the first reason for which a row does not count. Of :func:`bound` sites, the contracts carry
+    ``complex_id`` and ``method``.
     """
-    with_id = identified(rows)
+    with_id = identified(rows, sites)
+    linked = [c for c in FOUND if c in with_id.columns]
     cancelled = clean("DPOS_GBN") != ""
     two = with_id.select(
-        "code", "dong_code", "year", "region", "eup_scope", "legal_dong", "dong", "i", "building", "trade_name",
+        "code", "dong_code", "year", *PARSED, *linked,
         clean("BLDG_MUSE_CD").alias("use"), "BLDG_AREA", cancelled.alias("_cancelled"),
         F.expr("stack(2, 'sale', A11, A21, A31, 'lease', B11, B21, B31) as (side, _date, _price, _floor)"),
     ).filter((clean("_date") != "") & (clean("_price") != ""))
-    date = disclosed_date("_date", "year")
+    # parsed once a row, as columns of their own: the months are filtered on, and inside a lambda nothing is compiled
+    two = once(two, date_parts("_date").alias("_parts"), keep=[c for c in two.columns if c != "_date"])
+    two = once(two, date_of_parts(F.col("_parts"), "year").alias("date"), keep=[c for c in two.columns if c != "_parts"])
     excluded = (
         F.when(F.col("i").isNull(), "unidentified")
         .when(F.col("legal_dong").isNull(), "unconfirmed_ri")
@@ -73,10 +124,10 @@ def contracts(rows: DataFrame) -> DataFrame:
         F.col("i.district").alias("id_district"), F.col("i.dong").alias("id_dong"),
         "dong", F.col("i.kind").alias("land_kind"),
         F.col("i.parcel").alias("parcel"), F.col("i.year").alias("build_year"),
-        date.alias("date"), ym_of_date(date).alias("ym"), number("BLDG_AREA").alias("area"),
+        "date", ym_of_date("date").alias("ym"), number("BLDG_AREA").alias("area"),
         number("_floor").cast("int").alias("floor"), number("_price").cast("bigint").alias("price"),
         (_not_whole("_price") | ((clean("_floor") != "") & _not_whole("_floor"))).alias("bad_number"),
-        ((F.col("side") == "sale") & F.col("_cancelled")).alias("cancelled"), excluded.alias("excluded"),
+        ((F.col("side") == "sale") & F.col("_cancelled")).alias("cancelled"), excluded.alias("excluded"), *linked,
     )
 
 
@@ -156,11 +207,15 @@ def resolve(keys: DataFrame, complexes: DataFrame, plan: DataFrame | None = None
 
 
 def linked_contracts(contract_rows: DataFrame, complexes: DataFrame, start: str, end: str, plan: DataFrame | None = None) -> DataFrame:
-    """Contracts of the period with their complex and ``outcome``. A cancelled sale leaves the lease of its row alone."""
-    counted = contract_rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
-    # keys are taken from all rows: that pass reads the key columns only
-    key = KEY if plan is None else [*REQUEST, *KEY]
-    found = counted.join(resolve(contract_rows.select(*key).distinct(), complexes, plan), key, "left")
+    """Contracts of the period with their complex and ``outcome``. A cancelled sale leaves the lease of its row alone.
+
+    Contracts of :func:`bound` sites have their complex already: then neither ``complexes`` nor ``plan`` is read again.
+    """
+    found = contract_rows.filter(F.col("excluded").isNull() & F.col("ym").between(start, end))
+    if not set(FOUND) <= set(contract_rows.columns):
+        # keys are taken from all rows: that pass reads the key columns only
+        key = KEY if plan is None else [*REQUEST, *KEY]
+        found = found.join(resolve(contract_rows.select(*key).distinct(), complexes, plan), key, "left")
     outcome = (
         F.when(F.col("complex_id").isNull(), "unmatched")
         .when(F.col("cancelled"), "cancelled_sale")

@@ -24,7 +24,7 @@ def collect(
     :func:`coverage_plan.plan_requests`) keeps every response to the complexes it was asked for; a response to a request
     that the plan does not hold stops the run.
     """
-    rows = cs.contracts(responses)
+    rows = cs.contracts(responses, cs.bound(cs.sites_of(responses), catalogue, plan))
     linked = cs.linked_contracts(rows, catalogue, start, end, plan)
     saved = cs.distinct_contracts(linked)
     sales = saved.filter("side = 'sale'").select("complex_id", "date", "ym", "area", "floor", "price", "legal_dong", "parcel")

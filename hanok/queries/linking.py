@@ -96,8 +96,9 @@ found AS (SELECT *, CASE WHEN l_linenumber <= 1 AND households < 1000 THEN 'parc
 
 
 def _contracts(star):
-    rows = cs.contracts(star.responses())
-    return rows, cs.linked_contracts(rows, star.portal_catalogue, START, END)
+    responses, catalogue = star.responses(), star.portal_catalogue
+    rows = cs.contracts(responses, cs.bound(cs.sites_of(responses), catalogue))
+    return rows, cs.linked_contracts(rows, catalogue, START, END)
 
 
 @query("portal_links", "S7 J4 P17 P18 W8", f"""WITH {PORTAL} SELECT CASE WHEN method IS NOT NULL THEN complex_id END AS complex_id, method, side,

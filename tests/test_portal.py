@@ -180,3 +180,38 @@ def test_providers_are_merged_and_published(spark, tmp_path):
 
     assert load_snapshot(spark, root)["leases"].count() == 1
     assert sorted(p.name for p in (tmp_path / "site" / "versions").iterdir()) == ["2026-10"]
+
+
+MIXED = [
+    ROW, dict(ROW, KAB_APTNM="테스트 ", DPOS_GBN="25.12.12"), dict(ROW, KAB_APTNM="다른", A11="2025.09.05"), dict(ROW, PNU=None), dict(ROW, code=None),
+    dict(ROW, eup_scope=None), dict(ROW, A11="13.41"), dict(ROW, A31=""), dict(ROW, dong_code=None, A21="1.5"),
+]
+
+
+def test_bound_sites_link_as_keys_do(spark):
+    rows, cat = responses(spark, MIXED), one(spark)
+    plan = spark.createDataFrame([("41210", "10100", "A1")], "code string, dong_code string, complex_id string")
+    for p in (None, plan):
+        plain = cs.linked_contracts(cs.contracts(rows), cat, "2025-01", "2025-12", p)
+        once = cs.linked_contracts(cs.contracts(rows, cs.bound(cs.sites_of(rows), cat, p)), cat, "2025-01", "2025-12", p)
+        as_text = lambda df: sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect())
+        assert sorted(plain.columns) == sorted(once.columns) and as_text(plain) == as_text(once)
+        assert {r.complex_id for r in once.collect()} == {"A1", None}
+
+
+def test_rows_find_their_site_by_one_number(spark):
+    rows, cat = responses(spark, MIXED), one(spark)
+    linked = cs.linked_contracts(cs.contracts(rows, cs.bound(cs.sites_of(rows), cat)), cat, "2025-01", "2025-12")
+    plan = linked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1  # a date is parsed once a row, filters included
+    joins = [line for line in plan.splitlines() if "Join " in line and "KAB_APTNM" in line]
+    assert not joins
+
+
+def test_spellings_that_share_a_mark_get_another_seed(spark, monkeypatch):
+    rows, mark = responses(spark, MIXED), cs._mark
+    expected = sorted(map(str, cs.contracts(rows).collect()))
+    monkeypatch.setattr(cs, "_mark", lambda seed: F.lit(7).cast("bigint") if seed == 0 else mark(seed))
+    sites = cs.sites_of(rows)
+    assert sites.seed == 1
+    assert sorted(map(str, cs.contracts(rows, sites).collect())) == expected
