@@ -21,6 +21,11 @@ def overwrite_months(fresh: DataFrame, path: str) -> None:
     fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ym").parquet(path)
 
 
+def append_months(fresh: DataFrame, path: str) -> None:
+    """Rows beside those that the stored months have."""
+    fresh.write.mode("append").partitionBy("ym").parquet(path)
+
+
 IDENTITY = ("region", "legal_dong", "build_year")
 
 

@@ -3,33 +3,55 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from hanok.operators.incremental import overwrite_months
-from hanok.session import cut
+from hanok.operators.incremental import append_months, overwrite_months
+
+
+def month_changes(fresh: DataFrame, stored: DataFrame) -> dict[str, tuple[str, bool]]:
+    """Latest run of each month of ``fresh``, and whether stored rows have to go: rows of an earlier run, or a response that
+    is repeated. Both have ``ym``, ``run`` and ``response``; a row without a run is older than any. One row per month."""
+    key, run = ["ym", "run", "response"], F.coalesce("run", F.lit(""))
+    arrived = fresh.select(*key).filter("ym is not null").distinct()
+    newest = {r.ym: r.run for r in arrived.groupBy("ym").agg(F.max(run).alias("run")).collect()}
+    held = stored.filter(F.col("ym").isin(list(newest))).select(*key).distinct()
+    again = arrived.join(held, key).select("ym").distinct().withColumn("again", F.lit(True))
+    before = held.groupBy("ym").agg(F.min(run).alias("first"), F.max(run).alias("last")).join(again, "ym", "left")
+    out = {ym: (run_, False) for ym, run_ in newest.items()}
+    for r in before.collect():
+        latest = max(newest[r.ym], r.last)
+        out[r.ym] = latest, bool(r.again) or r.first < latest
+    return out
 
 
 def merge_responses(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of the months of ``fresh``: those of each month's latest ``run``, a repeated ``response`` counting as it is in
-    ``fresh``. Both have ``ym``, ``run`` and ``response``; a row without a run is older than any."""
+    ``fresh``."""
     again = fresh.select("ym", "run", "response").distinct()
-    months = fresh.select("ym").distinct()
-    kept = stored.join(months, "ym", "left_semi").join(again, ["ym", "run", "response"], "left_anti")
-    both = kept.unionByName(fresh).withColumn("_run", F.coalesce("run", F.lit("")))
-    newest = both.groupBy("ym").agg(F.max("_run").alias("_run"))
-    return both.join(newest, ["ym", "_run"], "left_semi").drop("_run").select(*fresh.columns)
+    kept = stored.join(again, ["ym", "run", "response"], "left_anti")
+    return kept.unionByName(fresh)
+
+
+def _of_latest(rows: DataFrame, latest: dict[str, str]) -> DataFrame:
+    """Rows of the latest run of these months."""
+    months: dict[str, list[str]] = {}
+    for ym, run in latest.items():
+        months.setdefault(run, []).append(ym)
+    run = F.coalesce("run", F.lit(""))
+    return rows.filter(reduce(Column.__or__, [F.col("ym").isin(some) & (run == r) for r, some in months.items()]))
 
 
 def replace_months(stream: DataFrame, path: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Responses of a collection run replace the months stored by earlier runs; other months stay.
 
-    The responses of a run may arrive in any number of batches: a month grows until all of them are there, and an earlier
-    run's rows that arrive late change nothing. ``prepare`` gives rows with ``ym``, ``run`` and ``response``; without the
-    two, every batch has to hold whole months. Repeating a batch after a failure writes the same partitions again, so
-    nothing is lost or doubled.
+    The responses of a run may arrive in any number of batches: a month grows until all of them are there, its rows written
+    once, and an earlier run's rows that arrive late change nothing. ``prepare`` gives rows with ``ym``, ``run`` and ``response``; without the
+    two, every batch has to hold whole months. Repeating a batch after a failure finds its responses stored and writes their
+    months again, so nothing is lost or doubled.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -38,8 +60,14 @@ def replace_months(stream: DataFrame, path: str, checkpoint: str, prepare: Calla
             overwrite_months(fresh, path)
             return
         stored = fresh.sparkSession.read.schema(fresh.schema).parquet(path)
-        # written to the shared folder first: the months that are replaced are also read
-        overwrite_months(cut(merge_responses(fresh, stored)).repartition("ym"), path)
+        changes = month_changes(fresh, stored)
+        grown = {ym: latest for ym, (latest, replaced) in changes.items() if not replaced}
+        anew = {ym: latest for ym, (latest, replaced) in changes.items() if replaced}
+        if anew:
+            # files of replaced months go when all tasks have written theirs, so they may be read meanwhile
+            overwrite_months(merge_responses(_of_latest(fresh, anew), _of_latest(stored, anew)).repartition("ym"), path)
+        if grown:
+            append_months(_of_latest(fresh, grown).repartition("ym"), path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -230,3 +230,23 @@ def test_a_month_may_come_in_several_batches(spark, tmp_path):
     assert arrive((3, "b", "p1", "2025-01")) == [("2025-01", 2), ("2025-01", 3), other]  # a response sent again
     assert arrive((9, "a", "p1", "2025-01")) == [("2025-01", 2), ("2025-01", 3), other]  # an earlier run, late
     assert arrive((4, "c", "p1", "2025-01"), (5, "c", "p1", "2025-03")) == [("2025-01", 4), other, ("2025-03", 5)]
+
+
+def test_a_growing_month_keeps_its_files(spark, tmp_path):
+    source, out = str(tmp_path / "in"), tmp_path / "out"
+    schema = "price int, run string, response string, ym string"
+    spark.createDataFrame([(7, "a", "p0", "2025-01")], schema).write.partitionBy("ym").parquet(str(out))
+
+    def arrive(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        tr.replace_months(spark.readStream.schema(schema).parquet(source), str(out), str(tmp_path / "cp")).awaitTermination()
+        return {f.name for f in (out / "ym=2025-01").glob("*.parquet")}, sorted(r.price for r in spark.read.schema(schema).parquet(str(out)).collect())
+
+    first, rows = arrive((1, "b", "p1", "2025-01"), (0, "a", "p0", "2025-01"), (5, "b", "p1", None))
+    assert rows == [1]
+    second, rows = arrive((2, "b", "p2", "2025-01"))
+    assert rows == [1, 2] and first < second  # what was stored is not written again
+    third, rows = arrive((9, None, "p3", "2025-01"))
+    assert rows == [1, 2] and third == second
+    fourth, rows = arrive((3, "b", "p2", "2025-01"))
+    assert rows == [1, 3] and not second & fourth
