@@ -9,7 +9,7 @@ from hanok.operators import guards as g
 from hanok.plans import publish as pb
 from hanok.plans import update as up
 from hanok.registry import query
-from hanok.session import scratch_path
+from hanok.session import scratch_path, scratch_scope
 from hanok.sources import coverage_plan as cp
 from hanok.sources import envelope as ev
 from hanok.sources import listing as ls
@@ -220,8 +220,8 @@ def _published(star):
     docs, sizes = up.documents(c, sales, leases)
     g.enforce(pt.oversized(sizes))
     path = scratch_path(star.spark, "parts")
-    packed = pt.pack_parts(docs, max_bytes=256 * 1024)
-    packed.write.parquet(path + "-packed")
+    with scratch_scope(star.spark):  # the documents go once they are packed
+        pt.pack_parts(docs, max_bytes=256 * 1024).write.parquet(path + "-packed")
     packed = star.spark.read.parquet(path + "-packed")
     pt.write_parts(packed, path)
     return path, packed.drop("text"), c

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanok.functions.fixed_values import PART_MAX_BYTES, PART_PREFIX, PART_SUFFIX
 from hanok.operators import guards
+from hanok.session import scratch_scope, settled
 
 
 def part_files(spark: SparkSession, path: str) -> DataFrame:
@@ -35,14 +37,20 @@ def load_parts(spark: SparkSession, path: str, manifest: DataFrame, total: int,
     part, total count, unique ids.
     """
     parsed = parse_parts(part_files(spark, path), row_schema).drop("text")
-    joined = manifest.join(parsed.withColumnRenamed("sha256", "_sha"), "file", "left")
-    other = F.exists("rows", lambda r: ~r["region"].eqNullSafe(F.col("region")))
+    told = parsed.select("file", F.col("sha256").alias("_sha"), F.size("rows").alias("_n"), F.array_distinct(F.transform("rows", lambda r: r["region"])).alias("_regions"), "rows")
+    with scratch_scope(spark) as made:  # opened and parsed once: the checks and the rows start from what was read
+        found = settled(told.select("file", "_sha", "_n", "_regions", F.posexplode_outer("rows").alias("_at", "r")), "parts-read")
+        made.clear()
+    files = found.filter("_at is null or _at = 0").select("file", "_sha", "_n", "_regions")
+    joined = manifest.join(files, "file", "left")
+    other = F.exists("_regions", lambda r: ~r.eqNullSafe(F.col("region")))
     detail = (
         F.when(F.col("_sha").isNull(), "missing").when(F.col("_sha") != F.col("sha256"), "hash")
-        .when(F.col("rows").isNull(), "frame").when(F.size("rows") != F.col("count"), "count").when(other, "region")
+        .when(F.col("_regions").isNull(), "frame").when(F.col("_n") != F.col("count"), "count").when(other, "region")
     )
     bad = guards.violations(joined.withColumn("_d", detail), "part", F.col("_d").isNotNull(), "file", F.col("_d"))
-    rows = joined.select("file", F.explode("rows").alias("r")).select("file", "r.*")
+    # the listing is small beside the parts, which stay where they are
+    rows = found.filter("_at is not null").join(F.broadcast(manifest.select("file")), "file").select("file", "r.*")
     counted = rows.agg(F.count("*").alias("n"))
     problems = guards.all_of(
         guards.duplicated(manifest, ["file"], "part_listed_twice"),
@@ -61,19 +69,20 @@ def pack_parts(documents: DataFrame, max_bytes: int = PART_MAX_BYTES) -> DataFra
     """
     frame = len(PART_PREFIX.encode()) + len(PART_SUFFIX.encode()) + 2
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        region, pieces, size, number = None, [], frame, 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, pieces, size = None, [], frame
 
         def part():
             text = PART_PREFIX + "[" + ",".join(pieces) + "]" + PART_SUFFIX
-            digest = hashlib.sha256(text.encode()).hexdigest()
-            row = (f"region-{digest[:12]}", region, digest, len(pieces), len(text.encode()), text[:-1])
-            return pd.DataFrame([row], columns=["file", "region", "sha256", "count", "bytes", "text"])
+            data = text.encode()
+            digest = hashlib.sha256(data).hexdigest()
+            row = {"file": f"region-{digest[:12]}", "region": region, "sha256": digest, "count": len(pieces), "bytes": len(data), "text": text[:-1]}
+            return pa.RecordBatch.from_pylist([row], columns)
 
         for batch in batches:
-            for r, piece in zip(batch["region"], batch["json"]):
+            regions, texts = batch.column("region"), batch.column("json")
+            for i in range(batch.num_rows):  # one document at a time is a Python text
+                r, piece = regions[i].as_py(), texts[i].as_py()
                 grown = len(piece.encode()) + 1
                 if frame + grown > max_bytes:
                     raise ValueError(f"a complex of {r} alone exceeds a part: {frame + grown} of {max_bytes} bytes")
@@ -87,8 +96,10 @@ def pack_parts(documents: DataFrame, max_bytes: int = PART_MAX_BYTES) -> DataFra
             yield part()
 
     schema = "file string, region string, sha256 string, count bigint, bytes bigint, text string"
-    ordered = documents.repartitionByRange("region", "ord").sortWithinPartitions("region", "ord")
-    return ordered.select("region", "json").mapInPandas(pack, schema)
+    columns = pa.schema([(name, pa.int64() if kind == "bigint" else pa.string()) for name, kind in (c.split(" ") for c in schema.split(", "))])
+    # built once: the ranges are sampled from what was written
+    ordered = settled(documents, "documents").repartitionByRange("region", "ord").sortWithinPartitions("region", "ord")
+    return ordered.select("region", "json").mapInArrow(pack, schema)
 
 
 def escape_script(json_text):

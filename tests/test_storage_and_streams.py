@@ -250,3 +250,26 @@ def test_a_growing_month_keeps_its_files(spark, tmp_path):
     assert rows == [1, 2] and third == second
     fourth, rows = arrive((3, "b", "p2", "2025-01"))
     assert rows == [1, 3] and not second & fourth
+
+
+def test_documents_are_built_and_parts_are_parsed_once(spark, tmp_path):
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        built.add(1)
+        return text
+
+    names = [(r, f"이름{i}") for r in ("마포구", "영등포구") for i in range(40)]
+    path = str(tmp_path / "parts")
+    docs = documents(spark, names).withColumn("json", counted("json"))
+    packed = pt.pack_parts(docs, max_bytes=1500).cache()
+    pt.write_parts(packed, path)
+    assert built.value == 80
+    manifest = packed.drop("text")
+    rows, problems = pt.load_parts(spark, path, manifest.unionByName(manifest.limit(1)), 81, ROW)
+    for f in glob.glob(path + "/file=*/*.txt"):
+        os.remove(f)
+    found = {(r.guard, r.detail) for r in problems.collect()}
+    assert ("part_listed_twice", "2") in found and ("complex_id_twice", "2") in found and not {g for g, _ in found} & {"part"}
+    assert rows.select("id").distinct().count() == 80 < rows.count()
