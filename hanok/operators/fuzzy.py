@@ -20,18 +20,39 @@ POOL_THRESHOLD, REGION_THRESHOLD = 0.74, 0.80
 CONTAINED = 0.92
 LEAST_RATIO = 0.71 - 1e-9  # the region threshold less both bonuses (.05 and .04), a hair lower against rounding
 
+#: Bonus by the gap of two known years; larger gaps; the same dong; dongs of which neither holds the other.
+YEAR_BONUS = {gap: 0.05 if gap == 0 else 0.02 if abs(gap) <= 2 else 0.0 for gap in range(-6, 7)}
+FAR_YEARS, SAME_DONG, OTHER_DONG = -0.12, 0.04, -0.04
+ANY, UNKNOWN = "*", "-"  # marks; the mark of a value begins with "="
 
-def year_bonus(a, b):
-    gap = F.abs(F.col(a) - F.col(b))
-    usable = (F.coalesce(F.col(a), F.lit(0)) != 0) & (F.coalesce(F.col(b), F.lit(0)) != 0)
-    tier = F.when(gap == 0, 0.05).when(gap <= 2, 0.02).when(gap >= 7, -0.12).otherwise(0.0)
-    return F.when(usable, tier).otherwise(0.0)
 
+def _mark(value):
+    return F.concat(F.lit("="), value.cast("string"))
 
-def dong_bonus(a, b):
-    x, y = F.trim(F.coalesce(F.col(a), F.lit(""))), F.trim(F.coalesce(F.col(b), F.lit("")))
-    apart = ~F.contains(x, y) & ~F.contains(y, x)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 0.04).when(apart, -0.04).otherwise(0.0)
+
+def _offers(unknown, near, apart: float):
+    """(mark, bonus) of a complex for every key that may ask for it: its values in ``near``, all keys, keys without a value."""
+
+    def offer(mark, bonus):
+        return F.struct(mark.alias("mark"), F.lit(bonus).alias("bonus"))
+
+    rest = offer(F.lit(UNKNOWN), 0.0)
+    known = F.array(*(offer(_mark(value), bonus) for value, bonus in near), offer(F.lit(ANY), apart), rest)
+    return F.when(unknown, F.array(offer(F.lit(ANY), 0.0), rest)).otherwise(known)
+
+
+def _asks(unknown, value):
+    """Marks that a key asks for."""
+    return F.when(unknown, F.array(F.lit(UNKNOWN))).otherwise(F.array(_mark(value), F.lit(ANY)))
+
+
+def _year(c: str):
+    """Whole year, 0 if unknown."""
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def _dong(c: str):
+    return F.trim(F.coalesce(F.col(c), F.lit("")))
 
 
 def _tokens(key: str):
@@ -100,11 +121,44 @@ def contained_names(trade_names: DataFrame, catalogue_names: DataFrame) -> DataF
     return both.filter(F.col("trade_name") != F.col("name")).distinct().withColumn("base", F.lit(CONTAINED))
 
 
+def best_by_bonus(places: DataFrame, seen: DataFrame) -> DataFrame:
+    """``choices`` of each (region, name, year, dong) of ``places``: the best complex at each pair of year and dong bonus.
+
+    Complexes and places of one name do not meet in pairs: a complex stands for itself at the years and the dong near it and,
+    at the least bonus, for any other. Where it is near it thus stands twice, but then its better bonus wins.
+    """
+    on = ["region", "name"]
+    best = F.struct((-F.col("first.ord")).alias("o"), F.col("first.complex_id").alias("complex_id")).alias("best")
+    c = seen.select(*on, _year("c_year").alias("year"), _dong("c_dong").alias("dong"), best)
+    # as many tasks as the session shuffles into: few bytes here become many rows
+    c = c.repartition(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on, "dong")
+    year, dong = F.col("year"), F.col("dong")
+
+    offers = _offers(year == 0, [(year + gap, bonus) for gap, bonus in YEAR_BONUS.items()], FAR_YEARS)
+    by_year = (
+        c.select(*on, "dong", F.inline(offers).alias("year_mark", "year_bonus"), "best")
+        .groupBy(*on, "dong", "year_mark", "year_bonus").agg(F.max("best").alias("best"))
+    )
+    dongs = c.select(*on, "dong").distinct()
+    own = dongs.select(*on, "dong", F.inline(_offers(dong == "", [(dong, SAME_DONG)], OTHER_DONG)).alias("dong_mark", "dong_bonus"))
+    # only distinct texts of a name are held against each other
+    asked = F.col("asked")
+    holds = (asked != "") & (dong != "") & (asked != dong) & (F.contains(asked, dong) | F.contains(dong, asked))
+    within = places.select(*on, dong.alias("asked")).distinct().join(dongs, on).filter(holds)
+    within = within.select(*on, "dong", _mark(asked).alias("dong_mark"), F.lit(0.0).alias("dong_bonus"))
+    marks, bonuses = ["year_mark", "dong_mark"], ["year_bonus", "dong_bonus"]
+    # years multiply rows unseen by estimates: without the hint the driver may be sent them all
+    offered = by_year.hint("merge").join(own.unionByName(within), [*on, "dong"]).groupBy(*on, *marks, *bonuses).agg(F.max("best").alias("best"))
+
+    wanted = places.withColumn("year_mark", F.explode(_asks(year == 0, year))).withColumn("dong_mark", F.explode(_asks(dong == "", dong)))
+    return wanted.join(offered, [*on, *marks]).groupBy(*on, "year", "dong").agg(F.collect_list(F.struct(*bonuses, "best")).alias("choices"))
+
+
 def best_match(keys: DataFrame, complexes: DataFrame) -> DataFrame:
     """Best complex per distinct key ``(region, raw_name, build_year, legal_dong)``; null below the threshold.
 
     ``complexes`` needs ``ord``, the catalogue order, which breaks ties. Where some name of the region is equal, only
-    those complexes compete and the lower threshold applies; otherwise every complex of the region does.
+    those complexes compete and the lower threshold applies; otherwise every complex of the region does. Years are whole.
     """
     # keys, catalogue and unmatched names are written once: every branch below starts from them
     k = cut(keys.withColumn("trade_name", norm_name("raw_name")))
@@ -122,14 +176,18 @@ def best_match(keys: DataFrame, complexes: DataFrame) -> DataFrame:
         equal.select("region", "trade_name", F.col("trade_name").alias("name"), F.lit(1.0).alias("base"), F.lit(POOL_THRESHOLD).alias("least"))
     )
 
-    scored = (
-        k.join(bases, ["region", "trade_name"])
-        .join(seen, ["region", "name"])
-        .withColumn("score", F.col("base") + year_bonus("build_year", "c_year") + dong_bonus("legal_dong", "c_dong"))
-    )
+    bases = cut(bases)
+    candidates = k.join(bases, ["region", "trade_name"]).withColumn("year", _year("build_year")).withColumn("dong", _dong("legal_dong"))
+    at = ["region", "name", "year", "dong"]
+    choices = best_by_bonus(candidates.select(*at).distinct(), seen)
+
+    def scored(choice):
+        score = F.col("base") + choice["year_bonus"] + choice["dong_bonus"]
+        return F.struct(score.alias("score"), choice["best"]["o"].alias("o"), choice["best"]["complex_id"].alias("complex_id"))
+
     by = ["region", "raw_name", "build_year", "legal_dong"]
     # below the threshold a candidate cannot win, so only the others reach the aggregate
-    good = scored.filter(F.col("score") >= F.col("least"))
-    best = good.groupBy(*by).agg(F.max(F.struct("score", (-F.col("first.ord")).alias("o"), F.col("first.complex_id").alias("complex_id"))).alias("m"))
+    good = candidates.join(choices, at).withColumn("m", F.array_max(F.transform("choices", scored))).filter(F.col("m.score") >= F.col("least"))
+    best = good.groupBy(*by).agg(F.max("m").alias("m"))
     accepted = best.select(*by, F.col("m.complex_id").alias("complex_id"), F.col("m.score").alias("score"))
     return k.select(*by).join(accepted, by, "left")

@@ -61,6 +61,63 @@ def test_ratio_is_taken_from_the_catalogue_name(spark):
     assert {r.region: r.complex_id for r in fuzzy.best_match(keys, catalogue).collect()} == {"x": None, "y": 2}
 
 
+def odd_score(c, t):
+    base = 1.0 if c["name"] == t["raw_name"] else 0.92 if c["name"] in t["raw_name"] or t["raw_name"] in c["name"] else SequenceMatcher(None, c["name"], t["raw_name"]).ratio()
+    if c["build_year"] and t["build_year"]:
+        gap = abs(c["build_year"] - t["build_year"])
+        base = base + (0.05 if gap == 0 else 0.02 if gap <= 2 else -0.12 if gap >= 7 else 0.0)
+    x, y = ((r["legal_dong"] or "").strip(" ") for r in (t, c))
+    return base + (0.0 if not x or not y else 0.04 if x == y else -0.04 if x not in y and y not in x else 0.0)
+
+
+def test_best_match_with_unknown_years_and_dongs_within_others(spark):
+    rng = random.Random(7)
+    years, dongs = [None, 0, 3, *range(1988, 2012)], [None, "", " ", "가", "가동", " 가동 ", "나", "가나동", "*", "-", "=가"]
+    names = ["abcdefgh", "abcdefgx", "abcd", "zzzz", "zzzy"]
+    row = lambda name: dict(name=name, build_year=rng.choice(years), legal_dong=rng.choice(dongs))
+    catalog = [dict(complex_id=1000 - i, ord=rng.choice([i, i // 3])) | row(rng.choice(names[:4])) for i in range(60)]
+    trades = {tuple(row(rng.choice(names)).values()) for _ in range(400)}
+    # of rows that look the same the first counts, of equally good others with the same place the larger complex_id
+    looks = {}
+    for c in catalog:
+        at = (c["name"], c["build_year"], c["legal_dong"])
+        looks[at] = min(looks.get(at, c), c, key=lambda c: (c["ord"], c["complex_id"]))
+    want = {}
+    for name, year, dong in trades:
+        t = dict(raw_name=name, build_year=year, legal_dong=dong)
+        equal = [c for c in looks.values() if c["name"] == name]
+        best = max((odd_score(c, t), -c["ord"], c["complex_id"]) for c in equal or looks.values())
+        known = year is not None and dong is not None  # null years and dongs never find their own row again
+        want[name, year, dong] = best[::2] if known and best[0] >= (0.74 if equal else 0.80) else (None, None)
+    ks = spark.createDataFrame([("x", *t) for t in trades], "region string, raw_name string, build_year int, legal_dong string")
+    cs = spark.createDataFrame([("x", *(c[f] for f in ("complex_id", "name", "build_year", "legal_dong", "ord"))) for c in catalog], "region string, complex_id int, name string, build_year int, legal_dong string, ord int")
+    got = {(r.raw_name, r.build_year, r.legal_dong): (r.score, r.complex_id) for r in fuzzy.best_match(ks, cs).collect()}
+    assert got == want
+    assert 50 < sum(v[0] is not None for v in want.values()) < len(want)
+
+
+def made(node):
+    """Rows of every step of a plan that has run."""
+    kind = node.nodeName()
+    if kind.startswith("AdaptiveSparkPlan"):
+        return made(node.executedPlan())
+    if "QueryStage" in kind:
+        return made(node.plan())
+    rows = node.metrics().get("numOutputRows")
+    own = [rows.get().value()] if rows.isDefined() else []
+    return own + [n for i in range(node.children().size()) for n in made(node.children().apply(i))]
+
+
+def test_keys_and_complexes_of_one_name_do_not_meet_in_pairs(spark):
+    n = 600
+    places = [(1900 + i % 120, f"{'abcdefghij'[i % 10]}{i}동") for i in range(n)]
+    ks = spark.createDataFrame([("x", "한솔마을", *p) for p in places], "region string, raw_name string, build_year int, legal_dong string")
+    cs = spark.createDataFrame([(i, "x", "한솔마을", *p, i) for i, p in enumerate(places)], "complex_id int, region string, name string, build_year int, legal_dong string, ord int")
+    matched = fuzzy.best_match(ks, cs)
+    assert {(r.build_year, r.legal_dong): r.complex_id for r in matched.collect()} == {p: i for i, p in enumerate(places)}
+    assert max(made(matched._jdf.queryExecution().executedPlan())) < n * n / 4
+
+
 def street_grid(n=8, step=100.0):
     nodes = {(i, j): (i * n + j, i * step, j * step * 1.1) for i in range(n) for j in range(n)}
     ways = []
