@@ -28,8 +28,9 @@ def clean(c) -> Column:
 
 def first_nonblank(*cols) -> Column:
     """First column whose trimmed text is not empty, ``nan`` or ``None``; otherwise the empty text."""
-    texts = [F.when(~clean(c).isin("", "nan", "None"), clean(c)) for c in cols]
-    return F.coalesce(*texts, F.lit(""))
+    # each text is trimmed once; a CASE would mention it twice, in generated code as well
+    texts = F.array(*[clean(c) for c in cols], F.lit(""))  # not without any, whose type would be unknown
+    return F.coalesce(F.get(F.array_except(texts, F.array(F.lit(""), F.lit("nan"), F.lit("None"))), 0), F.lit(""))
 
 
 @lru_cache(maxsize=1)

@@ -10,22 +10,42 @@ from hanok.functions.months import col, let, seoul_date_of_epoch_ms
 from hanok.functions.text import clean, first_nonblank
 
 
-def number(c) -> Column:
-    """Finite number from text with thousands commas, else null."""
-    s = F.replace(clean(c), F.lit(","), F.lit(""))
-    value = s.try_cast("double")
+def digits(c) -> Column:
+    """Text without blanks at its ends and without thousands commas; null becomes the empty text."""
+    return F.replace(clean(c), F.lit(","), F.lit(""))
+
+
+def loose_digits(c) -> Column:
+    """As :func:`digits`, percent signs ignored."""
+    return digits(F.replace(col(c).cast("string"), F.lit("%"), F.lit("")))
+
+
+def finite(value: Column, s: Column) -> Column:
+    """``value``, the double that the text ``s`` was cast to, if it is a finite number written as such, else null."""
     # a type suffix or a hexadecimal number is no number here; infinities and NaN differ from themselves less zero
     return F.when((value - value == 0) & ~F.lower(F.right(s, F.lit(1))).isin("d", "f") & ~F.contains(s, F.lit("x")), value)
 
 
+def number(c) -> Column:
+    """Finite number from text with thousands commas, else null."""
+    s = digits(c)
+    return finite(s.try_cast("double"), s)
+
+
 def loose_number(c) -> Column:
     """As :func:`number`, percent signs ignored."""
-    return number(F.replace(clean(c), F.lit("%"), F.lit("")))
+    s = loose_digits(c)
+    return finite(s.try_cast("double"), s)
+
+
+def nearest(value: Column) -> Column:
+    """Nearest whole number, ties to even."""
+    return F.bround(value, 0).cast("bigint")
 
 
 def whole(c) -> Column:
     """Nearest whole number (ties to even) of a loose number."""
-    return F.bround(loose_number(c), 0).cast("bigint")
+    return nearest(loose_number(c))
 
 
 def integer(c) -> Column:

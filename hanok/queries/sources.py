@@ -114,7 +114,7 @@ def xml_items(star):
         latin, hangul = tb.ITEM_NAMES[f][0], tb.ITEM_NAMES[f][-1]
         tags += [F.when(~korean, v.cast("string")).alias(latin), F.when(korean, v.cast("string")).alias(hangul)]
     path = scratch_path(star.spark, "items")
-    li.select(*tags).write.format("xml").option("rootTag", "items").option("rowTag", "item").save(path)
+    tb.write_items(li.select(*tags), path)
     trades = tb.item_trades(tb.read_items(star.spark, path))
     return trades.groupBy("name", "area", "floor", "price", "date").agg(F.count("*").alias("n"))
 

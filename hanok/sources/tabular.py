@@ -129,6 +129,13 @@ DIRECT_DEAL = "직거래"
 NOT_CANCELLED = ("", "0", "N", "해제아님")
 
 
+def write_items(items: DataFrame, path: str, row_tag: str = "item", file_rows: int = 100_000) -> None:
+    """Items as XML responses. The tags make most of an item's bytes, so the files are compressed; one task reads a whole
+    file, so its length is bounded."""
+    out = items.write.format("xml").option("rootTag", f"{row_tag}s").option("rowTag", row_tag)
+    out.option("compression", "gzip").option("maxRecordsPerFile", file_rows).save(path)
+
+
 def read_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFrame:
     """All items of XML responses as text columns, whichever of its tag names each field uses."""
     tags = [t for names in ITEM_NAMES.values() for t in names]
@@ -139,13 +146,17 @@ def read_items(spark: SparkSession, path: str, row_tag: str = "item") -> DataFra
 
 def item_trades(items: DataFrame) -> DataFrame:
     """Typed legacy trades: no direct deals, nothing cancelled, complete, within the two collected area bands."""
-    from hanok.functions.values import loose_number, whole
+    from hanok.functions.values import finite, loose_digits, nearest, whole
 
     live = ~F.contains("deal_type", F.lit(DIRECT_DEAL)) & (F.col("cancel_day") == "") & F.col("cancel_type").isin(*NOT_CANCELLED)
+    kept, numbers = ["name", "legal_dong", "jibun", "apt_seq", "build_year"], ["area", "floor", "price", "year", "month", "day"]
+    # text, then double, then value, each a column that the next step only names: generated code stays short enough to be compiled
+    texts = items.filter(live).select(*kept, *[loose_digits(f).alias(f) for f in numbers])
+    doubles = texts.select("*", *[F.col(f).try_cast("double").alias(f"{f}_double") for f in numbers])
+    value = {f: finite(F.col(f"{f}_double"), F.col(f)) for f in numbers}
     typed = once(
-        items.filter(live), loose_number("area").alias("area"), whole("floor").cast("int").alias("floor"), whole("price").alias("price"),
-        whole("year").alias("y"), whole("month").alias("m"), whole("day").alias("d"),
-        keep=["name", "legal_dong", "jibun", "apt_seq", "build_year"],
+        doubles, value["area"].alias("area"), nearest(value["floor"]).cast("int").alias("floor"), nearest(value["price"]).alias("price"),
+        nearest(value["year"]).alias("y"), nearest(value["month"]).alias("m"), nearest(value["day"]).alias("d"), keep=kept,
     )
     complete = (F.col("name") != "") & F.col("area").isNotNull() & F.col("floor").isNotNull()
     for c in ("price", "y", "m", "d"):

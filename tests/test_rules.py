@@ -109,6 +109,25 @@ def test_item_values_are_computed_once(spark):
     assert plan.count("Generate inline") == 1 and "try_cast" not in plan.split("+- Project")[-1]  # no filter below parses numbers again
 
 
+def test_item_texts_are_parsed_once(spark, tmp_path):
+    from hanok.functions.text import first_nonblank
+
+    (tmp_path / "a.xml").write_text(
+        "<r><item><아파트>가</아파트><전용면적> 59.90% </전용면적><층>-1</층><거래금액> 1,000.5</거래금액><년>2025</년><월>9.5</월><일>1</일></item>"
+        "<item><aptNm>나</aptNm><excluUseAr>59.9d</excluUseAr><floor>1</floor><dealAmount>1</dealAmount><dealYear>2025</dealYear><dealMonth>9</dealMonth><dealDay>1</dealDay></item>"
+        "<item><aptNm>다</aptNm><excluUseAr>60</excluUseAr><floor>Infinity</floor><dealAmount>1</dealAmount><dealYear>2025</dealYear><dealMonth>9</dealMonth><dealDay>1</dealDay></item>"
+        "<item><aptNm>nan</aptNm><아파트>라</아파트><excluUseAr>\u00a084\u3000</excluUseAr><floor>2</floor><dealAmount>7</dealAmount><dealYear>2025</dealYear><dealMonth>9</dealMonth><dealDay>1</dealDay></item></r>",
+        encoding="utf-8",
+    )
+    out = tb.item_trades(tb.read_items(spark, str(tmp_path))).drop("build_year")
+    assert sorted((r.name, r.area, r.floor, r.price, r.date) for r in out.collect()) == [("가", 59.9, -1, 1000, "2025-10-01"), ("라", 84.0, 2, 7, "2025-09-01")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_cast") == 6  # one for each number
+    assert plan.count("trim(excluUseAr") == 1 and plan.count("trim(전용면적") == 1
+    texts = spark.createDataFrame([(" a ", "a"), ("nan", " None"), (None, "\u3000b"), ("", None)], "x string, y string")
+    assert [tuple(r) for r in texts.select(first_nonblank("x", "y"), first_nonblank("y"), first_nonblank()).collect()] == [("a", "a", ""), ("", "", ""), ("b", "b", ""), ("", "", "")]
+
+
 def test_folded_equals_the_long_way(spark):
     from hanok.functions.months import let
     from hanok.functions.text import compat, composed, folded

@@ -87,6 +87,40 @@ def test_envelope_pages_move_no_rows(spark, tmp_path):
     assert ev.to_envelopes(rows.limit(0)).count() == 0
 
 
+def test_items_are_written_compressed_in_bounded_files(spark, tmp_path):
+    rows = [(str(i), None, "당산동") if i % 2 else (None, f"<a&{i}>", " ") for i in range(25)]
+    items = spark.createDataFrame(rows, "aptNm string, `아파트` string, umdNm string").coalesce(1)
+    tb.write_items(items, str(tmp_path / "items"), file_rows=10)
+    files = glob.glob(str(tmp_path / "items" / "part-*"))
+    assert len(files) == 3 and all(f.endswith(".xml.gz") for f in files)
+    got = sorted((r.name, r.legal_dong) for r in tb.read_items(spark, str(tmp_path / "items")).collect())
+    assert got == sorted((a or b, (c or "").strip()) for a, b, c in rows)
+
+
+def test_staged_items_take_a_fraction_of_their_text(spark, tmp_path):
+    from hanok.queries.sources import xml_items
+    from hanok.starmap import Star
+
+    q = F.col("id")
+    lineitem = spark.range(2000).select(
+        (q % 7).alias("l_suppkey"), (q % 50).cast("double").alias("l_quantity"), (q % 5 + 1).cast("int").alias("l_linenumber"), (q * 3 + 1000.5).alias("l_extendedprice"),
+        F.when(q % 11 == 0, 0.07).otherwise(0.02).alias("l_tax"), F.when(q % 13 == 0, "R").otherwise("N").alias("l_returnflag"), F.when(q % 2 == 0, "F").otherwise("O").alias("l_linestatus"),
+        F.timestamp_add("DAY", (q % 400).cast("int"), F.lit("2001-01-30").cast("timestamp_ntz")).alias("l_shipdate"),
+    )
+    lineitem.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(i, f"집{i}") for i in range(7)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    out = xml_items(Star(spark, str(tmp_path)))
+    wanted = {}
+    for r in spark.read.parquet(str(tmp_path / "lineitem.parquet")).collect():
+        area = r.l_quantity + 40
+        if r.l_returnflag != "R" and r.l_tax < 0.07 and (45 <= area < 75 or 82 <= area <= 86.5):
+            key = (f"집{r.l_suppkey}", area, r.l_linenumber, int(r.l_extendedprice), r.l_shipdate.strftime("%Y-%m-%d"))
+            wanted[key] = wanted.get(key, 0) + 1
+    assert {tuple(r)[:5]: r.n for r in out.collect()} == wanted and len(wanted) > 1000
+    files = [f.removeprefix("file://") for f in out.inputFiles()]
+    assert all(f.endswith(".gz") for f in files) and sum(map(os.path.getsize, files)) < 2000 * 100  # about 450 bytes an item as text
+
+
 def test_envelopes(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"DATA":[{"BDRG_SN":100000000000000000001,"Name":"x"},{"name":"y"}]}')
     (tmp_path / "b.json").write_text('{\n "DATA": [\n {"name": "z"}\n ]\n}')
